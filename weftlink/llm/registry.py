@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import chat_format, license_scan, packing, token_count
+from weftlink.llm import chat_format, embedding_dedup, license_scan, packing, pivot_search, quality, token_count
 from weftlink.llm.common import table
 
 
@@ -34,10 +34,47 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_search.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256.0)
+    return pivot_search.top_k(vectors, "id % 50 = 0", pivot_search.SearchParams(k=5))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_TOP_K_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE}),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+_VECTOR_DEDUP_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT reach.id, p.b FROM reach JOIN p ON p.a = reach.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.id = c.component_id AS kept FROM c LEFT JOIN n ON n.a = c.id"""
+
+
 def _chat_sql() -> str:
     t = chat_format.ChatTemplate()
 
@@ -65,9 +102,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_token_counts": op4_token_counts,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_exact_top_k": op6_exact_top_k,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_license_scans": op9_license_scans,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _chat_sql()}
+    return {"op5_chat_formatting": _chat_sql(), "op6_exact_top_k": _TOP_K_SQL, "op10_embedding_near_dedup": _VECTOR_DEDUP_SQL}
