@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import chat_format, embedding_dedup, license_scan, packing, pivot_search, quality, token_count
+from weftlink.llm import chat_format, embedding_dedup, license_scan, minhash_dedup, packing, pivot_search, quality, secret_scan, token_count
 from weftlink.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackParams(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -39,6 +43,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(vectors, "id % 50 = 0", pivot_search.SearchParams(k=5))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), secret_scan.default_forest())
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +71,19 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+_DEDUP_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common c JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE c.n >= 0.8 * (p.n + q.n - c.n)),
+reach(id, other) AS (SELECT doc_id, doc_id FROM words UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+classes AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id)
+SELECT id AS doc_id, class_id, coalesce(n, 0) AS n_shingles, id = class_id AS kept FROM classes LEFT JOIN sizes ON sizes.doc_id = id"""
+
 _VECTOR_DEDUP_SQL = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -99,10 +120,12 @@ FROM said GROUP BY conv_id"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_token_counts": op4_token_counts,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_exact_top_k": op6_exact_top_k,
+        "op7_secret_scans": op7_secret_scans,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_license_scans": op9_license_scans,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
@@ -110,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _chat_sql(), "op6_exact_top_k": _TOP_K_SQL, "op10_embedding_near_dedup": _VECTOR_DEDUP_SQL}
+    return {"op1_minhash_near_dedup": _DEDUP_SQL, "op5_chat_formatting": _chat_sql(), "op6_exact_top_k": _TOP_K_SQL, "op10_embedding_near_dedup": _VECTOR_DEDUP_SQL}
