@@ -1,25 +1,7 @@
-"""Whitespace chunks whose token ids don't depend on what stands beside them."""
+"""A cache for pre-tokens."""
 
 from __future__ import annotations
 
-import re
-
-#: Unicode white space, as the tokenizer libraries' patterns have it (the inside of a class).
-SPACE = r"\t-\r \x85\xa0  -     　"
-
-#: A blank after other white space that is also before white space or at the end: cutting there isn't exact.
-_INEXACT = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-
-
-def split_exactly(text: str) -> bool:
-    """Whether cutting ``text`` before every blank leaves each pre-token of the byte-level pattern whole.
-
-    The pattern gives a blank to the word after it, and never lets a piece run from other
-    characters into white space. So a cut before a blank is one of its own cuts if the blank
-    follows a character that isn't white space, or is followed by one.
-    """
-    return _INEXACT.search(text) is None
-
 
 class BoundedCache(dict):
     """``cache[key]`` computes what is missing, and holds ``limit`` computed entries at most.

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.common import staged, texts
-from weftlink.llm.pretokens import BoundedCache, split_exactly
 
 
 @dataclass(frozen=True)
@@ -41,13 +40,17 @@ class PackParams:
     fan_in: int = 8
     carry: int = 20_000
     flush: int = 200_000  #: pieces that are packed together at most in a partition
-    cache: int = 400_000  #: encoded words that a worker remembers
 
 
-class WordEncoder:
-    """Ids of a byte-level tokenizers file as little-endian unsigned 32-bit integers, through a cache of words."""
+class IdEncoder:
+    """Ids of a byte-level tokenizers file as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, limit: int):
+    If the file's merges stand in the order of the ids that they make, and nothing but the byte-level
+    pattern looks at a text, its vocabulary is a table of ranks, and a rank encoder gives the library's
+    own ids several times faster (the tests hold the two against each other). Otherwise the library encodes.
+    """
+
+    def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
@@ -57,42 +60,45 @@ class WordEncoder:
         self.lib.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        #: Words can be encoded apart only if nothing but the byte-level pattern looks at the text.
-        self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.cache = BoundedCache(self._word, limit, keep=lambda w: "\n" not in w)
-        self.newline = self.whole("\n")
-
-    def _word(self, word: str) -> bytes:
-        """A word that the cache lacks. A newline alone between other characters is a pre-token of its own."""
-        if "\n" in word:
-            lines = word.split("\n")
-            if all(x and not x[-1].isspace() and not (i and x[0].isspace()) for i, x in enumerate(lines)):
-                return self.newline.join(map(self.cache.__getitem__, lines))
-        return self.whole(word)
+        self.ranks = self._rank_encoder(spec)
+
+    @staticmethod
+    def _rank_encoder(spec: dict):
+        import public_tokenizers
+        import tiktoken
+
+        pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
+        plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+                 and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+                 and not any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")))
+        made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if not plain or made != sorted(made):
+            return None
+        # the byte-level alphabet: printable characters stand for themselves, other bytes for 256 onward
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in set(printable)]
+        alphabet = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
+        special = {x["content"]: x["id"] for x in added}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or any(s in text for s in self.special) or not split_exactly(text):
+        if self.ranks is None:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        return (self.cache[first] if first else b"") + b"".join(map(self.cache.__getitem__, words))
+        return self.ranks.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+_ENCODERS: dict[str, IdEncoder] = {}
 
 
-def encoder(path: str, limit: int) -> WordEncoder:
+def encoder(path: str) -> IdEncoder:
     """One encoder for each worker process; it lives on between tasks."""
-    if (path, limit) not in _ENCODERS:
-        _ENCODERS[path, limit] = WordEncoder(path, limit)
-    return _ENCODERS[path, limit]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = IdEncoder(path)
+    return _ENCODERS[path]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +134,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin_i
 
 
 def _pack_partition(batches: Iterator[pd.DataFrame], p: PackParams, keep_ids: bool) -> Iterator[pd.DataFrame]:
-    enc = encoder(p.tokenizer, p.cache)
+    enc = encoder(p.tokenizer)
     end = int(p.end_id).to_bytes(4, "little")
     part = TaskContext.get().partitionId()
     next_bin = part << 33
