@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import chat_format, embedding_dedup, license_scan, minhash_dedup, packing, pivot_search, quality, secret_scan, token_count
+from weftlink.llm import bpe, chat_format, embedding_dedup, license_scan, minhash_dedup, packing, pivot_search, quality, secret_scan, token_count
 from weftlink.llm.common import table
 
 
@@ -20,6 +20,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackParams(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes, decodes what it has encoded, and digests both."""
+    params = bpe.BpeParams(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), params)
+    coded = coded.withColumn("decoded", bpe.decode_column(F.col("ids"), bpe.load_ranks(params.ranks)))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.CountParams(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -122,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_byte_level_bpe": op3_byte_level_bpe,
         "op4_token_counts": op4_token_counts,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_exact_top_k": op6_exact_top_k,
