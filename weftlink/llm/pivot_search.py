@@ -128,8 +128,9 @@ def _router(index: _Index, first: bool, parts: int):
             if first:
                 rows, cols = np.arange(len(q)), home
             else:
-                bound[np.arange(len(q)), home] = -np.inf
-                rows, cols = np.nonzero(bound >= pdf["floor"].to_numpy()[:, None])
+                open_ = bound >= pdf["floor"].to_numpy()[:, None]
+                open_[np.arange(len(q)), home] = False  # searched before
+                rows, cols = np.nonzero(open_)
             n = np.asarray([index.blocks[int(c)] for c in cells[cols, 0]], np.int64)
             at = np.repeat(np.arange(len(rows)), n)
             block = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
