@@ -5,11 +5,11 @@
 3. In every band bucket of several nodes, the smallest is compared with all others: links as many as members,
    not as pairs. Their components are found.
 4. Nodes of one bucket that are still in different components may link to each other though not to the
-   smallest. Outside the bucket's main component they are compared with all the bucket in blocks,
-   by signature; promising pairs are verified, the best ``fanout`` of each node and other component first.
-   This goes on with a larger ``fanout`` until no such pair is untested.
-5. Verification reads whole texts: the shingles of the two documents, exactly. A pair's first
-   document is sent once for every ``salt`` partners, so a hot one is spread.
+   smallest. Those outside the component of the bucket's smallest are compared with all of the bucket, in blocks,
+   each pair in the first band it shares, and exactly; a task returns one link for each node and other
+   component, not the pairs. Buckets of the same members in several bands count once.
+5. All comparisons take the shingles of whole texts. In step 3 a bucket's smallest is sent once for every ``salt``
+   partners, so a hot one is spread.
 
 Similarity is the probability Jaccard of the shingle weights: with weights "unit" that of the sets of
 shingles, with "count" that of their counts.
@@ -42,10 +42,8 @@ class DedupParams:
     bands: int = 30
     rows: int = 5  #: signature components in a band: a pair at 0.8 shares no band with probability 7e-6
     weights: str = "unit"  #: or "count"
-    margin: float = 0.15  #: how far an estimate may lie below the threshold: over four standard deviations
-    salt: int = 256
-    block: int = 1024
-    fanout: int = 8
+    salt: int = 256  #: partners that a bucket's smallest document is sent to at once
+    block: int = 1024  #: rows of a bucket that one task compares with as many others
     batch_chars: int = 1_500_000
     seed: int = 1
 
@@ -67,7 +65,7 @@ def _sketcher(p: DedupParams):
         sig = signatures(sets, p.components, p.seed, p.weighted)
         bands = mix((sig.reshape(len(ids), p.bands, p.rows) * steps).sum(2, dtype=np.uint64)).view(np.int64)
         return pd.DataFrame({"doc_id": ids, "fp": [fingerprint(b) for b in blobs], "n": [len(s[0]) for s in sets],
-                             "bands": list(bands), "sig": [x.tobytes() for x in sig.astype(np.uint16)]})
+                             "bands": list(bands)})
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,39 +108,89 @@ def _verifier(p: DedupParams):
 
 
 def verify_pairs(pairs: DataFrame, text: DataFrame, p: DedupParams) -> DataFrame:
-    """(a, b, similarity) of distinct pairs (a, b), from whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = staged(text.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
+    """(a, b, similarity) of distinct pairs (a, b); ``text`` has one row for each document in them."""
     hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / p.salt).cast("int").alias("salts")).where("salts > 1")
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    partner = dealt.join(needed.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
-    first = dealt.select("a", "salt").distinct().join(needed.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
+    partner = dealt.join(text.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
+    first = dealt.select("a", "salt").distinct().join(text.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     rows = first.unionByName(partner).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInPandas(_verifier(p), "a long, b long, similarity double")
 
 
-def _chooser(p: DedupParams, fanout: int):
-    """Promising pairs between rows outside the bucket's main component and all rows, of different components."""
+def _shingler(p: DedupParams):
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at:at + 64]
+                sets = shingle_sets([normal_bytes(t) for t in part["text"]], p.shingle)
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "bands": part["bands"].to_numpy(), "sh": [h.tobytes() for h, _ in sets], "counts": [c.astype(np.int64).tobytes() if p.weighted else b"" for _, c in sets]})
+
+    return shingles
+
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+def _linker(p: DedupParams):
+    """Links between rows outside the bucket's main component (role 0) and all rows, of different components."""
+
+    def read(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for h, c in zip(rows["sh"], rows["counts"])]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         small, large = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int, float]] = []
         if len(small) and len(large):
-            stack = lambda x: np.stack([np.frombuffer(s, np.uint16) for s in x["sig"]])
-            s, t = stack(small), stack(large)
-            t_id, t_comp = large["rep"].to_numpy(), large["comp"].to_numpy()
-            for x, rep, comp in zip(s, small["rep"].tolist(), small["comp"].tolist()):
-                like = (t == x).mean(1)
-                hit = np.flatnonzero((like >= p.threshold - p.margin) & (t_comp != comp))
-                if not len(hit):
+            band = int(pdf["band"].iloc[0])
+            ids, comps, bands, sets = large["rep"].to_numpy(), large["comp"].to_numpy(), np.stack(large["bands"].to_numpy()), read(large)
+            sizes = np.asarray([len(h) for h, _ in sets])
+            for rep, comp, own, x in zip(small["rep"].tolist(), small["comp"].tolist(), small["bands"], read(small)):
+                n = len(x[0])
+                met = (bands == own).argmax(1)  # they share this band, so the first that they share is never after it
+                at = np.flatnonzero((met == band) & (comps != comp))
+                if not p.weighted:
+                    at = at[np.minimum(sizes[at], n) >= p.threshold * np.maximum(sizes[at], n)]
+                if not len(at):
                     continue
-                hit = hit[np.lexsort((t_id[hit], -like[hit], t_comp[hit]))]
-                rank = np.arange(len(hit)) - np.searchsorted(t_comp[hit], t_comp[hit])
-                more = bool((rank >= fanout).any())
-                out += [(min(rep, o), max(rep, o), more) for o in t_id[hit[rank < fanout]].tolist()]
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-
-    return choose
+                if p.weighted:
+                    like = np.asarray([jaccard(x, sets[k], True) for k in at])
+                else:
+                    flat = np.concatenate([sets[k][0] for k in at])
+                    found = x[0][np.minimum(np.searchsorted(x[0], flat), n - 1)] == flat
+                    both = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+                    like = both / (n + sizes[at] - both)
+                best: dict[int, tuple[float, int]] = {}
+                for k, j in zip(at[like >= p.threshold].tolist(), like[like >= p.threshold].tolist()):
+                    if j > best.get(comps[k], (0.0, 0))[0]:
+                        best[comps[k]] = (j, int(ids[k]))
+                out += [(rep, other, j) for j, other in best.values()]
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return link
+
+
+def _cross_links(shared: DataFrame, classes: DataFrame, nodes: DataFrame, text: DataFrame, p: DedupParams) -> DataFrame | None:
+    """Links between components that meet in a bucket, or None if no two do."""
+    labelled = shared.join(classes, "rep", "left").select("band", "code", "rep", F.coalesce("comp", "rep").alias("comp"))
+    own = F.xxhash64("rep")
+    met = labelled.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rep").alias("main"), F.count(F.lit(1)).alias("n"),
+                                               F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 20)).alias("y")).where("lo < hi")
+    # of buckets with the same members, that of the first band
+    met = met.groupBy("n", "x", "y", "main").agg(F.min(F.struct("band", "code")).alias("k")).select("k.band", "k.code", "main", "n")
+    members = staged(labelled.join(met, ["band", "code"]), "members")
+    if is_empty(members):
+        return None
+    minor = members.where("comp <> main").groupBy("band", "code").agg(F.count(F.lit(1)).alias("n_minor"))
+    needed = members.select("rep").distinct()
+    sets = nodes.join(needed, "rep", "left_semi").join(text.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "bands", "text")
+    sets = sets.mapInPandas(_shingler(p), "rep long, bands array<long>, sh binary, counts binary")
+    rows = members.join(minor, ["band", "code"]).join(sets, "rep")
+    n_all, n_small = F.ceil(F.col("n") / p.block).cast("int"), F.ceil(F.col("n_minor") / p.block).cast("int")
+    place = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
+    every = lambda count: F.sequence(F.lit(0), count - 1)
+    # one row for each pair of blocks that it takes part in, as any row (role 1) and, outside the main component, as one of the few (role 0)
+    as_any = F.transform(every(n_small), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), place(n_all).alias("j")))
+    as_few = F.transform(every(n_all), lambda j: F.struct(F.lit(0).alias("role"), place(n_small).alias("i"), j.alias("j")))
+    dealt = rows.withColumn("d", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(as_any, as_few)).otherwise(as_any)))
+    dealt = dealt.select("band", "code", "d.role", "d.i", "d.j", "rep", "comp", "bands", "sh", "counts")
+    return staged(dealt.groupBy("band", "code", "i", "j").applyInPandas(_linker(p), "a long, b long, similarity double"), "cross-links")
 
 
 def dedup_documents(docs: DataFrame, params: DedupParams = DedupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,41 +198,26 @@ def dedup_documents(docs: DataFrame, params: DedupParams = DedupParams(), id_col
     p = params
     everything = texts(docs, id_col, text_col)
     text = everything.where("doc_id IS NOT NULL")
-    sketches = staged(text.mapInPandas(_sketcher(p), "doc_id long, fp binary, n long, bands array<long>, sig binary"), "sketches")
+    sketches = staged(text.mapInPandas(_sketcher(p), "doc_id long, fp binary, n long, bands array<long>"), "sketches")
     filled = sketches.where("n > 0")
     groups = filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = staged(filled.join(groups.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
-                   .select(F.col("doc_id").alias("rep"), "bands", "sig").dropDuplicates(["rep"]), "nodes")
+                   .select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"]), "nodes")
     buckets = nodes.select("rep", F.posexplode("bands").alias("band", "code"))
     heads = buckets.groupBy("band", "code").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("band", "code", "head")
     shared = staged(buckets.join(heads, ["band", "code"]), "buckets")
-    tested = staged(verify_pairs(shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), text, p), "verified")
-    fanout = p.fanout
-    while True:
-        classes = connected_components(tested.where(F.col("similarity") >= p.threshold)).select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-        classes = staged(classes, "classes")
-        labelled = shared.join(classes, "rep", "left").select("band", "code", "rep", F.coalesce("comp", "rep").alias("comp"))
-        split = labelled.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rep").alias("main"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-        members = labelled.join(split.select("band", "code", "main", "n"), ["band", "code"])
-        members = staged(members, "members")
-        if is_empty(members):
-            break
-        minor = members.where("comp <> main").groupBy("band", "code").agg(F.count(F.lit(1)).alias("n_minor"))
-        rows = members.join(minor, ["band", "code"]).join(nodes.select("rep", "sig"), "rep")
-        n_all, n_small = F.ceil(F.col("n") / p.block).cast("int"), F.ceil(F.col("n_minor") / p.block).cast("int")
-        spread = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-        own = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
-        large = rows.select("band", "code", F.lit(1).alias("role"), "rep", "comp", "sig", own(n_all).alias("j"), spread(n_small).alias("i"))
-        small = rows.where("comp <> main").select("band", "code", F.lit(0).alias("role"), "rep", "comp", "sig", own(n_small).alias("i"), spread(n_all).alias("j"))
-        chosen = large.unionByName(small).groupBy("band", "code", "i", "j").applyInPandas(_chooser(p, fanout), "a long, b long, more boolean")
-        chosen = staged(chosen.groupBy("a", "b").agg(F.max("more").alias("more")), "promising")
-        fresh_pairs = staged(chosen.join(tested, ["a", "b"], "left_anti").select("a", "b"), "untested")
-        if is_empty(fresh_pairs):
-            if is_empty(chosen.where("more")):
-                break
-        else:
-            tested = staged(tested.unionByName(verify_pairs(fresh_pairs, text, p)), "verified")
-        fanout *= 8
+    met = shared.select(F.col("rep").alias("doc_id")).distinct()
+    needed = staged(text.join(met, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
+    stars = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    links = staged(verify_pairs(stars, needed, p).where(F.col("similarity") >= p.threshold), "verified")
+
+    def components(links: DataFrame) -> DataFrame:
+        return staged(connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("comp")), "classes")
+
+    classes = components(links)
+    more = _cross_links(shared, classes, nodes, needed, p)
+    if more is not None and not is_empty(more):
+        classes = components(links.unionByName(more))
     copies = filled.join(groups.where("copies > 1").select("fp", "rep"), "fp", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     found = copies.join(classes, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"), F.col("n").alias("n_shingles"))
     alone = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
