@@ -58,3 +58,30 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_report_has_a_row_for_each_rule(spark):
     empty = spark.createDataFrame([], "id string, list string, line string")
     assert {r.n for r in validation.report(validation.list_findings(empty)).collect()} == {0}
+
+
+def test_service(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from weftlink.sources.service import routes, serve
+
+    rows = spark.createDataFrame([("S1-1", "US", "acme steel", "1 main street", 1), ("S1-2", "FR", "blue", "", 0)], "entity_id string, country string, name string, address string, match_count int")
+    matches = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, t_id string")
+    (tmp_path / "f.tsv").write_bytes(b"x" * 3_000_000)
+    server = serve(routes(spark, rows, rows, matches), {"/download/f": str(tmp_path / "f.tsv")}, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}").read()
+    try:
+        assert json.loads(get("/api/entities?search=STEEL"))["entities"][0]["entity_id"] == "S1-1"
+        assert {r["country"]: r["matched"] for r in json.loads(get("/api/stats"))["countries"]} == {"ALL": 1, "US": 1, "FR": 0}
+        assert len(get("/download/f")) == 3_000_000
+        try:
+            get("/api/none")
+            raise AssertionError
+        except urllib.error.HTTPError as e:
+            assert e.code == 404
+    finally:
+        server.shutdown()

@@ -28,6 +28,15 @@ ADDRESS_WORDS = (
     ("nr", "near"), ("opp", "opposite"),
 )
 
+# Postal codes of US states and their names.
+US_STATES = {
+    "al": "alabama", "ak": "alaska", "az": "arizona", "ar": "arkansas", "ca": "california", "co": "colorado", "ct": "connecticut", "de": "delaware", "fl": "florida", "ga": "georgia", "hi": "hawaii",
+    "id": "idaho", "il": "illinois", "in": "indiana", "ia": "iowa", "ks": "kansas", "ky": "kentucky", "la": "louisiana", "me": "maine", "md": "maryland", "ma": "massachusetts", "mi": "michigan",
+    "mn": "minnesota", "ms": "mississippi", "mo": "missouri", "mt": "montana", "ne": "nebraska", "nv": "nevada", "nh": "new hampshire", "nj": "new jersey", "nm": "new mexico", "ny": "new york",
+    "nc": "north carolina", "nd": "north dakota", "oh": "ohio", "ok": "oklahoma", "or": "oregon", "pa": "pennsylvania", "ri": "rhode island", "sc": "south carolina", "sd": "south dakota",
+    "tn": "tennessee", "tx": "texas", "ut": "utah", "vt": "vermont", "va": "virginia", "wa": "washington", "wv": "west virginia", "wi": "wisconsin", "wy": "wyoming", "dc": "district of columbia",
+}
+
 # Strings deleted from squashed names wherever they stand, in this order.
 SQUASH_STRONG = ("@", " ", "&", "and", ".com", ".org", ".net", ".co", "com", "org", "net", "www", "llc", "inc", "corp", "ltd", "lp", "pllc")
 SQUASH_WEAK = (" ", "com", "org", "net", "www")
@@ -114,6 +123,7 @@ def source_of(entity_id: Column | str) -> Column:
     return F.when(c.startswith("S1-"), "S1").when(c.startswith("S2-"), "S2").otherwise("S3")
 
 
-def expand_states(address: Column | str, states: dict[str, str]) -> Column:
-    """Whole-word state codes by their names; an option, off by default, for a caller's own table."""
-    return reduce(lambda c, p: F.regexp_replace(c, whole_word(p[0]), p[1]), states.items(), _text(address))
+def expand_states(address: Column | str, states: dict[str, str] | None = None) -> Column:
+    """Whole-word state codes by their names; an option that no other rule applies by default."""
+    found = F.transform(words(address), lambda w: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in (states or US_STATES).items() for x in p]), w), w))
+    return F.array_join(found, " ")

@@ -40,3 +40,10 @@ def exclusive(matches: DataFrame) -> DataFrame:
     ranked = matches.withColumn("combined", F.round(combined_similarity(), 6))
     best = W.partitionBy("t_id").orderBy(F.desc("combined"), "s1_id")
     return ranked.withColumn("rank", F.row_number().over(best))
+
+
+def exclusivity_summary(ranked: DataFrame) -> DataFrame:
+    """One row: claims, kept and eliminated ones, and targets that several records had claimed."""
+    gone = F.sum(F.when(F.col("rank") > 1, 1).otherwise(0))
+    return ranked.agg(F.count(F.lit(1)).alias("claims"), F.coalesce(F.count(F.lit(1)) - gone, F.lit(0)).alias("kept"), F.coalesce(gone, F.lit(0)).alias("eliminated"),
+                      F.coalesce(F.sum(F.when(F.col("rank") == 2, 1).otherwise(0)), F.lit(0)).alias("contested"))

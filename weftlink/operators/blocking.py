@@ -155,7 +155,7 @@ def cosine_topk(grams: DataFrame, targets: DataFrame, k: int, min_sim: float, by
     """(s1_id, t_id, sim, rank): most similar targets by n-gram vectors, from each source or from all."""
     left = grams.where(F.col("entity_id").startswith("S1-")).select("country", "gram", F.col("entity_id").alias("s1_id"), F.col("w").alias("a"))
     right = grams.join(targets.select("entity_id"), "entity_id", "left_semi").select("country", "gram", F.col("entity_id").alias("t_id"), F.col("w").alias("b"))
-    sims = left.join(right, ["country", "gram"]).groupBy("s1_id", "t_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("sim")).where(F.col("sim") >= min_sim)
+    sims = left.join(right, ["country", "gram"]).groupBy("s1_id", "t_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("sim")).where(F.col("sim") >= min_sim)
     sims = sims.withColumn("source", N.source_of("t_id"))
     best = W.partitionBy("s1_id", *(["source"] if by_source else [])).orderBy(F.desc("sim"), "t_id")
     return sims.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("source")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,29 @@ THRESHOLD = 0.80
 
 
 class View:
-    """What the queries of one run share; every table is lazy."""
+    """What the queries of one run share; every table is lazy.
+
+    ``rows`` are computed where they are read, which is best for queries that read them once. ``s1`` and ``t`` stand on
+    a persisted copy of the normalised records: joins read them up to eight times, and normalising is dearer than reading.
+    A lost part of that copy is computed again from the table.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = E.entities(E.documents(spark, sf_dir))
         self.rows = E.records(spark, sf_dir)
-        self.s1, self.t = E.reference(self.rows), E.targets(self.rows)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return self.rows.persist()
+
+    @property
+    def s1(self) -> DataFrame:
+        return E.reference(self.kept)
+
+    @property
+    def t(self) -> DataFrame:
+        return E.targets(self.kept)
 
     @property
     def truth(self) -> DataFrame:
@@ -84,22 +101,27 @@ def _squash(strong: bool):
 
 def _cosine(weight: str, least: int, most: int, min_df: int, k: int, min_sim: float, by_source: bool):
     def query(v: View) -> DataFrame:
-        grams = blocking.gram_weights(v.rows, least, most, min_df, weight)
-        return blocking.cosine_topk(grams, v.t, k, min_sim, by_source).select("s1_id", "t_id", F.round("sim", 4).alias("sim"), "rank")
+        grams = blocking.gram_weights(v.kept, least, most, min_df, weight)
+        return blocking.cosine_topk(grams, v.t, k, min_sim, by_source).select("s1_id", "t_id", "sim", "rank")
 
     return query
 
 
-def _validate(v: View) -> DataFrame:
-    """A result file with one fault in most of its rows, and all rules on it."""
+def _result_file(v: View) -> tuple[DataFrame, DataFrame]:
+    """A result file with one fault in most of its rows, and a candidate file."""
     faults = F.expr("""CASE doc_id % 8 WHEN 0 THEN 'S2-1,S2-1' WHEN 1 THEN 'S1-5' WHEN 2 THEN 'X-1' WHEN 3 THEN 'S2-4,' WHEN 4 THEN ''
         WHEN 5 THEN 'S3-99999999' WHEN 6 THEN 'S2-1' ELSE concat('S2-', 1 + doc_id - doc_id % 3) END""")
     docs = E.documents(v.spark, v.sf_dir).where("doc_id IS NOT NULL")
     rows = docs.select(E.entity_id().alias("id"), F.col("doc_id"), faults.alias("list")).withColumn("line", F.concat("id", F.when(F.col("doc_id") % 8 == 6, " ").otherwise("\t"), "list"))
     twice = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0)))).select("id", "list", "line")
-    candidates = rows.select("id", F.when(F.col("doc_id") % 16 == 7, "").otherwise(F.col("list")).alias("list"), "line")
-    findings = validation.list_findings(twice, v.s1, v.t)
-    return validation.report([*findings, validation.not_candidates(twice, candidates)])
+    return twice, rows.select("id", F.when(F.col("doc_id") % 16 == 7, "").otherwise(F.col("list")).alias("list"), "line")
+
+
+def _validate(v: View) -> DataFrame:
+    """All rules on that file."""
+    rows, candidates = _result_file(v)
+    findings = validation.list_findings(rows, v.s1, v.t)
+    return validation.report([*findings, validation.not_candidates(rows, candidates)])
 
 
 def _search(v: View) -> DataFrame:
@@ -183,6 +205,9 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "reduction_ratio": lambda v: evaluation.reduction_ratio(v.topk(), v.s1, v.t).select("pairs", "n_records", "n_targets", F.round("ratio", 6).alias("ratio")),
     "country_rollup": lambda v: evaluation.run_summary(v.s1, v.topk()),
     "validate_report": _validate,
+    "validate_counts": lambda v: validation.row_counts(_result_file(v)[0]),
+    "exclusivity_summary": lambda v: assignment.exclusivity_summary(v.exclusive()),
+    "expand_states": lambda v: v.rows.select("entity_id", N.expand_states("address").alias("address")),
     "entity_search": _search,
     "match_hydration": _hydrated,
     "confidence_label": lambda v: v.judged().select("s1_id", "t_id", assignment.confidence_label(F.col("p"), THRESHOLD).alias("label")),

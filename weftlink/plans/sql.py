@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from weftlink.functions.normalize import ADDRESS_WORDS, LEGAL_WORDS, SQUASH_STRONG, SQUASH_WEAK
+from weftlink.functions.normalize import ADDRESS_WORDS, LEGAL_WORDS, SQUASH_STRONG, SQUASH_WEAK, US_STATES
 from weftlink.operators.features import FEATURES
 from weftlink.plans.queries import PARAMS, THRESHOLD
 
@@ -169,7 +169,7 @@ CTES |= {
 def _cosine_cte(u: str, k: int, least: float, by: str) -> str:
     return f"""SELECT s1_id, t_id, sim, CAST(rank AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY s1_id{by} ORDER BY sim DESC, t_id) AS rank FROM (
-        SELECT a.entity_id AS s1_id, b.entity_id AS t_id, {_source('b.entity_id')} AS source, round(sum(a.w * b.w), 6) AS sim FROM {u} a JOIN {u} b USING (country, gram)
+        SELECT a.entity_id AS s1_id, b.entity_id AS t_id, {_source('b.entity_id')} AS source, round(sum(a.w * b.w), 9) AS sim FROM {u} a JOIN {u} b USING (country, gram)
         WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY ALL) WHERE sim >= {least}) WHERE rank <= {k}"""
 
 
@@ -246,7 +246,12 @@ CTES |= {"candp": _pair_table("(SELECT s1_id, t_id FROM cand)"), "pairtab2": f"S
 CTES |= _windows("pairtab2", "featp")
 CTES |= {"tops": f"SELECT *, {_sorted('anw')} AS asort, {_sorted('bnw')} AS bsort FROM topn"}
 
+_STATES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in US_STATES.items()) + "}"
+
 FINAL: dict[str, str] = {
+    "validate_counts": "SELECT count(*) AS n_rows, count(*) FILTER (WHERE trim(list) <> '') AS filled, count(*) FILTER (WHERE trim(list) = '') AS empty FROM vfile",
+    "exclusivity_summary": "SELECT count(*) AS claims, count(*) FILTER (WHERE won = 1) AS kept, count(*) FILTER (WHERE won > 1) AS eliminated, count(*) FILTER (WHERE won = 2) AS contested FROM excl",
+    "expand_states": f"SELECT entity_id, array_to_string(list_transform({_words('address')}, lambda w: coalesce({_STATES}[w], w)), ' ') AS address FROM rec",
     "normalize_name": f"SELECT entity_id, {_name('business_name')} AS name FROM ent",
     "normalize_address": f"SELECT entity_id, {_address('business_address')} AS address FROM ent",
     "name_tokens": f"SELECT entity_id, array_to_string(list_filter({_words('name')}, lambda w: length(w) > 1), ' ') AS name_tokens FROM rec",
@@ -270,8 +275,8 @@ FINAL: dict[str, str] = {
     "token_sort_ratio": f"SELECT s1_id, t_id, round({_ratio('asort', 'bsort')}, 4) AS ratio FROM tops",
     "token_set_ratio": f"SELECT s1_id, t_id, round({_token_set('n', 'ans', 'bns')}, 4) AS ratio FROM topn",
     "partial_ratio": "SELECT s1_id, t_id, round(partial, 4) AS ratio FROM topw",
-    "ngram_cosine_topk": "SELECT s1_id, t_id, round(sim, 4) AS sim, rank FROM cos34",
-    "tfidf_cosine_topk": "SELECT s1_id, t_id, round(sim, 4) AS sim, rank FROM cos35",
+    "ngram_cosine_topk": "SELECT s1_id, t_id, sim, rank FROM cos34",
+    "tfidf_cosine_topk": "SELECT s1_id, t_id, sim, rank FROM cos35",
     "pair_features": "SELECT s1_id, t_id, " + ", ".join(f"round({_features()[f]}, 4) AS {f}" for f in FEATURES) + " FROM featp",
     "positive_pairs": "SELECT s1_id, t_id FROM truth WHERE t_id IN (SELECT entity_id FROM tg)",
     "target_sample": f"SELECT entity_id, {_source('entity_id')} AS source, entity_id IN (SELECT t_id FROM truth) AS needed FROM tg WHERE entity_id IN (SELECT t_id FROM truth) OR {_hash_bucket('entity_id', 4)} < 1",
