@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import fresh, texts
+from weftlink.llm.common import texts
 from weftlink.llm.trees import Binned
 
 
@@ -174,10 +174,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
 
 
 def quality_score(docs: DataFrame, model: RuleModel, name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``name`` added: the score of each text."""
-    stats = fresh(docs, "stats")
+    """``docs`` with the column ``name`` added: the score of each text.
+
+    The statistics are bound to a lambda's variable, so a filter on the score that Spark moves below this projection
+    takes them along once, not once for every comparison of a rule.
+    """
     struct = F.struct(*[c.alias(n) for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()])
-    return docs.withColumn(stats, struct).withColumn(name, model.column(F.col(stats))).drop(stats)
+    return docs.withColumn(name, F.transform(F.array(struct), lambda stats: model.column(stats))[0])
 
 
 def score_quality(docs: DataFrame, model: RuleModel, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
