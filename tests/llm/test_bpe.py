@@ -40,7 +40,7 @@ def test_every_code_point(enc, lib):
 
 
 def test_folds_agree_with_the_library(spark, enc, lib):
-    words = ["a", " the", "zukeitpf", " étrech", "中文字", "\U0001f600", "x" * 300, "aaaaaaab", " 12345", "...!!", "\n\n"]
+    words = ["a", " the", "zukeitpf", " étrech", "中文字", "\U0001f600", "x" * 300, "aaaaaaab", " 12345", "...!!", "\n\n", "abcdefgh" * 7]
     want = {w: lib._core_bpe.encode_single_piece(w.encode()) for w in words}
     assert {w: fold_bytes(w.encode(), enc.ranks) for w in words} == want
     got = fold_words(spark.createDataFrame([(w,) for w in [*words, ""]], "word string"), enc.ranks).collect()

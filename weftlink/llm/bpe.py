@@ -22,6 +22,7 @@ import base64
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +50,7 @@ class BpeParams:
     table_size: int = 30_000  #: words of the broadcast table at most
     sample_docs: int = 1_000  #: documents that they come from; doesn't change any id
     table_bytes: int = 32  #: longest word of the table
-    cache: int = 300_000
+    cache: int = 600_000  #: encoded words that a worker remembers at most; of whitespace chunks a third as many
     flush: int = 2_000_000  #: ids in an output batch
 
 
@@ -121,10 +122,8 @@ def frequent_words(text: DataFrame, p: BpeParams, ranks: dict[bytes, int]) -> di
     return {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in fold_words(common, ranks).collect()}
 
 
-def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold in a worker, in n log n: pairs wait in a heap by rank and place, pieces are a linked list."""
-    if word in ranks:
-        return [ranks[word]]
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold in n log n: pairs wait in a heap by rank and place, pieces are a linked list."""
     n = len(word)
     start, end, left, right = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -152,6 +151,28 @@ def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i]:end[i]]] for i in range(n) if alive[i]]
 
 
+def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold in a worker: pieces and the ranks of neighbours in lists, or for long words a heap."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > 64:
+        return _fold_long(word, ranks)
+    rank = ranks.get
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    beside = [rank(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
+    while beside and (low := min(beside)) != _NONE:
+        k = beside.index(low)
+        piece = pieces[k] + pieces[k + 1]
+        pieces[k:k + 2] = [piece]
+        del beside[k]
+        if k < len(beside):
+            beside[k] = rank(piece + pieces[k + 1], _NONE)
+        if k:
+            beside[k - 1] = rank(pieces[k - 1] + piece, _NONE)
+    return [ranks[x] for x in pieces]
+
+
 class Encoder:
     def __init__(self, p: BpeParams, table: dict[str, bytes] | None = None):
         import regex
@@ -161,8 +182,12 @@ class Encoder:
         self.find = regex.compile(spelled).findall
         #: Whether a blank belongs to the word after it, so that texts can be cut before blanks (see ``_INEXACT``).
         self.by_blank = all(self.find(x) == w for x, w in (("a b", ["a", " b"]), ("a  b", ["a", " ", " b"]), ("a\n b", ["a", "\n", " b"]), ("1 .", ["1", " ."])))
-        self.words = BoundedCache(lambda w: np.asarray(fold_bytes(w.encode("utf-8"), self.ranks), "<u4").tobytes(), p.cache, table)
-        self.chunks = BoundedCache(lambda c: b"".join(map(self.words.__getitem__, self.find(c))), p.cache, keep=lambda c: len(c) < 40)
+        self.words = BoundedCache(self._word, p.cache, table)
+        self.chunks = BoundedCache(lambda c: b"".join(map(self.words.__getitem__, self.find(c))), p.cache // 3, keep=lambda c: len(c) < 40)
+
+    def _word(self, word: str) -> bytes:
+        ids = fold_bytes(word.encode("utf-8"), self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, little-endian, 32 bits."""
