@@ -30,6 +30,18 @@ def test_candidates(spark):
     assert blocking.overlap_join(a, t, BlockingParams(max_df=1)).count() == 0
 
 
+def test_leading_squash_pairs_give_the_same_top_lists(spark):
+    name = lambda i: ["blue ocean", "blueocean", "acme"][i % 3]
+    where = lambda i: ["1 road 11111", "2 road 22222", ""][i // 3 % 3]
+    a = records(spark, [(f"S1-{i}", "US", name(i), where(i)) for i in range(9)])
+    t = records(spark, [(f"S{2 + i % 2}-{i}", "US", name(i // 2), where(i // 2)) for i in range(80)])
+    for p in (BlockingParams(per_source=2), BlockingParams(per_source=4, max_df=30, pool=3)):
+        whole = blocking.with_records(blocking.candidate_pool(a, t, p), a, t)
+        want = {(r.s1_id, r.t_id, r["rank"], r.score) for r in blocking.top_candidates(blocking.dual_channel(blocking.postal_guard(whole, p), p), p).collect()}
+        assert want == {(r.s1_id, r.t_id, r["rank"], r.score) for r in blocking.candidate_pairs(a, t, p).collect()}
+        assert blocking.leading_squash_pairs(a, t, p).count() < blocking.squash_join(a, t, p).count()
+
+
 def test_postal_guard(spark):
     rows = [("acme steel", "beta works", "33101", "44444"), ("acme steel", "acme steel", "33101", "44444"), ("a", "b", None, "44444"), ("a", "b", "33101", "33101")]
     df = frame(spark, rows, "a_name string, b_name string, a_postal string, b_postal string")

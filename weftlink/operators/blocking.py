@@ -77,6 +77,32 @@ def candidate_pool(records: DataFrame, targets: DataFrame, p: BlockingParams) ->
 
 
 
+def leading_squash_pairs(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
+    """The squash matches that can be among a record's best, without making the others.
+
+    A squash match scores 100 if both addresses are there and 85 if not, so of targets that are alike in all that the rules
+    look at, only the first ``per_source`` by id can stay in a top list. Targets are cut to those before the join, which
+    then grows with the records and not with the square of a common name. Targets of the record's own name pass the postal guard
+    whatever their codes; those of another name are cut for each code.
+    """
+    side = lambda df: df.select("country", "entity_id", "name", N.squash("name").alias("squash"), (F.col("address") != "").alias("placed"), N.first_postal_code("address").alias("postal")).where(F.length("squash") >= p.squash_length)
+    left = side(records).select("country", "squash", F.col("name").alias("own"), F.col("entity_id").alias("s1_id"))
+    right = side(targets).withColumn("source", N.source_of("entity_id"))
+
+    def first(*alike: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("country", "squash", "name", "source", "placed", *alike).orderBy("entity_id"))
+        return right.withColumn("rn", rank).where(F.col("rn") <= p.per_source).select("country", "squash", "name", F.col("entity_id").alias("t_id"))
+
+    same = left.withColumnRenamed("own", "name").join(first(), ["country", "squash", "name"]).select("s1_id", "t_id")
+    other = left.join(first("postal"), ["country", "squash"]).where("name <> own").select("s1_id", "t_id")
+    return same.union(other)
+
+
+def scoring_pool(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
+    """Pairs worth scoring: gives the same top candidates as ``candidate_pool``."""
+    return overlap_topk(records, targets, p).select("s1_id", "t_id").union(leading_squash_pairs(records, targets, p)).distinct()
+
+
 def keyed(records: DataFrame, side: str) -> DataFrame:
     """What the pair rules need of a record, computed once for each record and not for each pair."""
     return records.select(
@@ -123,7 +149,7 @@ def top_candidates(scored: DataFrame, p: BlockingParams) -> DataFrame:
 
 def candidate_pairs(records: DataFrame, targets: DataFrame, p: BlockingParams = BlockingParams()) -> DataFrame:
     """The whole path from records to scored candidates."""
-    pool = with_records(candidate_pool(records, targets, p), records, targets)
+    pool = with_records(scoring_pool(records, targets, p), records, targets)
     return top_candidates(dual_channel(postal_guard(pool, p), p), p)
 
 

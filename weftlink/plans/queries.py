@@ -57,7 +57,7 @@ class View:
         return blocking.dual_channel(blocking.postal_guard(self.pool(), PARAMS), PARAMS)
 
     def candidates(self) -> DataFrame:
-        return blocking.top_candidates(self.scored(), PARAMS)
+        return blocking.candidate_pairs(self.s1, self.t, PARAMS)
 
     def judged(self) -> DataFrame:
         """Candidates with a probability: the fixed score, from 0 to 1."""
