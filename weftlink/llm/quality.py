@@ -38,13 +38,10 @@ class QualityParams:
     seed: int = 8
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """What the rules are about: shares and means that don't depend on a language's words."""
+def _statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
     only = lambda kind: F.length(F.regexp_replace(text, f"[^{kind}]+", "")).cast("double")
     count = lambda s: (F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))).cast("double")
-    words = F.split(text, r"[ \n\t\r]+")
-    lines = F.split(text, "\n")
     n_words, n_lines = F.size(words).cast("double"), F.size(lines).cast("double")
     plain = only(r"\p{L}\p{N}\s.,;:!?'\"()\-")
     return {
@@ -63,6 +60,19 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+STATISTICS = ("chars", "upper_share", "digit_share", "symbol_share", "bang_share", "bar_share", "stop_share", "comma_share", "word_length", "distinct_words", "line_length", "repeated_lines")
+
+
+def statistics(text: Column) -> Column:
+    """What the rules are about, as a struct: shares and means that don't depend on a language's words.
+
+    Words and lines are split once, and bound to a lambda's variable for all statistics that need them.
+    """
+    parts = F.struct(text.alias("text"), F.split(text, r"[ \n\t\r]+").alias("words"), F.split(text, "\n").alias("lines"))
+    named = lambda x: F.struct(*[c.alias(n) for n, c in _statistics(x["text"], x["words"], x["lines"]).items()])
+    return F.transform(F.array(parts), named)[0]
+
+
 Rule = tuple[tuple[int, bool, float], ...]
 
 
@@ -167,10 +177,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled)
-    stats = statistics(F.col("text"))
-    rows = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "y", *[c.alias(n) for n, c in stats.items()]).limit(2 * p.labelled).toPandas()
+    rows = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("s"))
+    rows = rows.select("doc_id", "y", "s.*").limit(2 * p.labelled).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
-    return fit_rules(rows[list(stats)].to_numpy(np.float64), rows["y"].to_numpy(np.float64), tuple(stats), p)
+    return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["y"].to_numpy(np.float64), STATISTICS, p)
 
 
 def quality_score(docs: DataFrame, model: RuleModel, name: str, text_col: str = "text") -> DataFrame:
@@ -179,8 +189,8 @@ def quality_score(docs: DataFrame, model: RuleModel, name: str, text_col: str =
     The statistics are bound to a lambda's variable, so a filter on the score that Spark moves below this projection
     takes them along once, not once for every comparison of a rule.
     """
-    struct = F.struct(*[c.alias(n) for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()])
-    return docs.withColumn(name, F.transform(F.array(struct), lambda stats: model.column(stats))[0])
+    stats = statistics(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn(name, F.transform(F.array(stats), lambda x: model.column(x))[0])
 
 
 def score_quality(docs: DataFrame, model: RuleModel, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
