@@ -8,7 +8,7 @@ set operations and the arithmetic around it are Spark expressions.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.functions.normalize import words
@@ -91,20 +91,38 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(sorted_words(a), sorted_words(b))
 
 
+def _set_parts(a: Column, b: Column) -> Column:
+    """Sizes of the two word sets, shared words and both rests (sorted, joined), as a struct; each set is made once."""
+    joined = lambda x: F.array_join(F.array_sort(x), " ")
+    sets = F.struct(F.array_distinct(words(a)).alias("a"), F.array_distinct(words(b)).alias("b"))
+    parts = lambda s: F.struct(
+        F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), joined(F.array_intersect(s["a"], s["b"])).alias("both"),
+        joined(F.array_except(s["a"], s["b"])).alias("left"), joined(F.array_except(s["b"], s["a"])).alias("right"))
+    return F.transform(F.array(sets), parts)[0]
+
+
+def _set_ratio(parts: Column) -> Column:
+    n, x, y = F.length(parts["both"]), F.length(parts["left"]), F.length(parts["right"])
+    head = F.when(n > 0, n + 1).otherwise(0)
+    main = 200.0 * (head + lcs_length(parts["left"], parts["right"])) / (2 * head + x + y)
+    beside = lambda m: 200.0 * n / (2 * n + 1 + m)
+    return (F.when((parts["na"] == 0) | (parts["nb"] == 0), 0.0).when((n > 0) & ((x == 0) | (y == 0)), 100.0)
+            .when(n > 0, F.greatest(main, beside(x), beside(y))).otherwise(main))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Words as sets: 100 if one holds the other, 0 if one is empty, else the best of three ratios.
 
     All three strings begin with the shared words, so one subsequence (of the two rests) decides them all.
+    For many pairs take ``with_token_set``, which keeps the sets in a column.
     """
-    aw, bw = F.array_distinct(words(a)), F.array_distinct(words(b))
-    both = F.array_join(F.array_sort(F.array_intersect(aw, bw)), " ")
-    left, right = (F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((aw, bw), (bw, aw)))
-    n, x, y = F.length(both), F.length(left), F.length(right)
-    head = F.when(n > 0, n + 1).otherwise(0)
-    main = 200.0 * (head + lcs_length(left, right)) / (2 * head + x + y)
-    beside = lambda m: 200.0 * n / (2 * n + 1 + m)
-    return (F.when((F.size(aw) == 0) | (F.size(bw) == 0), 0.0).when((n > 0) & ((x == 0) | (y == 0)), 100.0)
-            .when(n > 0, F.greatest(main, beside(x), beside(y))).otherwise(main))
+    return _set_ratio(_set_parts(a, b))
+
+
+def with_token_set(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``pairs`` with the token set ratio of two columns; the sets are a column of their own in between, so they are made once for each pair."""
+    parts = f"{name}__parts"
+    return pairs.withColumn(parts, _set_parts(F.col(a), F.col(b))).withColumn(name, _set_ratio(F.col(parts))).drop(parts)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftlink.functions.similarity import token_set_ratio
+from weftlink.functions.similarity import with_token_set
 
 
 def decide(scored: DataFrame, threshold: float, name_only: float = 0.90, name_ratio: float = 85.0) -> DataFrame:
     """Pairs that match. Where only the target lacks an address, both probability and name have to be high."""
     lacks = (F.col("b_addr") == "") & (F.col("a_addr") != "")
-    blank = lambda c: F.when(lacks, F.col(c)).otherwise("")
-    strict = (F.col("p") >= name_only) & (token_set_ratio(blank("a_name"), blank("b_name")) >= name_ratio)
-    return scored.where((~lacks & (F.col("p") >= threshold)) | (lacks & strict))
+    rows = _with_sets(scored, name_only=True)
+    strict = (F.col("p") >= name_only) & (F.col("name_set") >= name_ratio)
+    return rows.where((~lacks & (F.col("p") >= threshold)) | (lacks & strict))
 
 
 def confidence_label(p: Column, threshold: float) -> Column:
@@ -29,15 +29,17 @@ def collisions(matches: DataFrame) -> DataFrame:
     return matches.groupBy("t_id").agg(F.count(F.lit(1)).alias("claims")).where("claims > 1")
 
 
-def combined_similarity() -> Column:
-    both = (F.col("a_addr") != "") & (F.col("b_addr") != "")
-    name = token_set_ratio(F.col("a_name"), F.col("b_name"))
-    return F.when(both, name * 0.70 + token_set_ratio(F.col("a_addr"), F.col("b_addr")) * 0.30).otherwise(name * 0.85)
+def _with_sets(pairs: DataFrame, name_only: bool = False) -> DataFrame:
+    """Token set ratios of names and addresses, where scoring hasn't left them."""
+    out = pairs if "name_set" in pairs.columns else with_token_set(pairs, "a_name", "b_name", "name_set")
+    return out if name_only or "addr_set" in pairs.columns else with_token_set(out, "a_addr", "b_addr", "addr_set")
 
 
 def exclusive(matches: DataFrame) -> DataFrame:
     """All claims (s1_id, t_id) with combined similarity and their rank for the target; rank 1 stays, the rest are eliminated."""
-    ranked = matches.withColumn("combined", F.round(combined_similarity(), 6))
+    both = (F.col("a_addr") != "") & (F.col("b_addr") != "")
+    together = F.when(both, F.col("name_set") * 0.70 + F.col("addr_set") * 0.30).otherwise(F.col("name_set") * 0.85)
+    ranked = _with_sets(matches).withColumn("combined", F.round(together, 6))
     best = W.partitionBy("t_id").orderBy(F.desc("combined"), "s1_id")
     return ranked.withColumn("rank", F.row_number().over(best))
 

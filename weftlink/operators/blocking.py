@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from weftlink.functions import normalize as N
 from weftlink.functions.ngrams import word_ngrams
-from weftlink.functions.similarity import ratio, token_set_ratio
+from weftlink.functions.similarity import ratio, with_token_set
 
 
 @dataclass(frozen=True)
@@ -60,9 +60,18 @@ def overlap_join(records: DataFrame, targets: DataFrame, p: BlockingParams) -> D
     return left.join(right, ["country", "token"]).groupBy("s1_id", "t_id").agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out by record, to as many partitions as the session has for shuffles.
+
+    Pairs are small in bytes but dear to compare; left alone, Spark would merge them into few partitions by size. What follows
+    by record (distinct, ranking) needs no further shuffle.
+    """
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id")
+
+
 def overlap_topk(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
     best = W.partitionBy("s1_id").orderBy(F.desc("overlap"), "t_id")
-    return overlap_join(records, targets, p).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.pool)
+    return spread(overlap_join(records, targets, p)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.pool)
 
 
 def squash_join(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
@@ -73,7 +82,7 @@ def squash_join(records: DataFrame, targets: DataFrame, p: BlockingParams) -> Da
 
 def candidate_pool(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
     """Distinct pairs of both kinds; squash matches aren't capped."""
-    return overlap_topk(records, targets, p).select("s1_id", "t_id").union(squash_join(records, targets, p).select("s1_id", "t_id")).distinct()
+    return spread(overlap_topk(records, targets, p).select("s1_id", "t_id").union(squash_join(records, targets, p).select("s1_id", "t_id"))).distinct()
 
 
 
@@ -100,7 +109,7 @@ def leading_squash_pairs(records: DataFrame, targets: DataFrame, p: BlockingPara
 
 def scoring_pool(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
     """Pairs worth scoring: gives the same top candidates as ``candidate_pool``."""
-    return overlap_topk(records, targets, p).select("s1_id", "t_id").union(leading_squash_pairs(records, targets, p)).distinct()
+    return spread(overlap_topk(records, targets, p).select("s1_id", "t_id").union(leading_squash_pairs(records, targets, p))).distinct()
 
 
 def keyed(records: DataFrame, side: str) -> DataFrame:
@@ -116,25 +125,21 @@ def with_records(pairs: DataFrame, records: DataFrame, targets: DataFrame) -> Da
 
 
 def postal_guard(pairs: DataFrame, p: BlockingParams) -> DataFrame:
-    """Drops pairs whose first postal codes differ, unless their names are nearly the same.
-
-    Where the codes don't differ the similarity gets empty strings, so the dear function does nothing for those
-    pairs and the pool is still read once (a condition beside it wouldn't keep it from running).
-    """
+    """Drops pairs whose first postal codes differ, unless their names are nearly the same. Adds name_set, which scoring needs anyway."""
     differ = F.coalesce(F.col("a_postal") != F.col("b_postal"), F.lit(False))
-    blank = lambda c: F.when(differ, F.col(c)).otherwise("")
-    return pairs.where(~differ | (token_set_ratio(blank("a_name"), blank("b_name")) >= p.guard))
+    return with_token_set(pairs, "a_name", "b_name", "name_set").where(~differ | (F.col("name_set") >= p.guard))
 
 
 def dual_channel(pairs: DataFrame, p: BlockingParams) -> DataFrame:
-    """Adds sq_score, name_score, addr_score and score."""
+    """Adds sq_score, name_score, addr_score and score to pairs that have name_set."""
     near = (F.col("a_squash") != "") & (F.col("b_squash") != "") & (F.abs(F.length("a_squash") - F.length("b_squash")) <= p.squash_gap)
     blank = lambda c: F.when(near, F.col(c)).otherwise("")  # noqa: E731  a guard alone wouldn't keep the function from running
     both = (F.col("a_addr") != "") & (F.col("b_addr") != "")
-    out = pairs.withColumn("sq_score", F.when(near, ratio(blank("a_squash"), blank("b_squash"))).otherwise(0.0))
-    out = out.withColumn("name_score", F.greatest(token_set_ratio(F.col("a_name"), F.col("b_name")), "sq_score"))
+    out = with_token_set(pairs, "a_addr", "b_addr", "addr_set")
+    out = out.withColumn("sq_score", F.when(near, ratio(blank("a_squash"), blank("b_squash"))).otherwise(0.0))
+    out = out.withColumn("name_score", F.greatest("name_set", "sq_score"))
     bonus = F.when(F.coalesce(F.col("a_number") == F.col("b_number"), F.lit(False)), 10.0).otherwise(0.0)
-    out = out.withColumn("addr_score", F.when(both, F.least(F.lit(100.0), token_set_ratio(F.col("a_addr"), F.col("b_addr")) + bonus)).otherwise(0.0))
+    out = out.withColumn("addr_score", F.when(both, F.least(F.lit(100.0), F.col("addr_set") + bonus)).otherwise(0.0))
     strong = F.when(F.col("addr_score") >= p.strong_address, F.col("addr_score")).otherwise(0.0)
     mixed = F.greatest(F.col("name_score") * 0.70 + F.col("addr_score") * 0.30, strong, F.col("sq_score"))
     return out.withColumn("score", F.when(both, mixed).otherwise(F.col("name_score") * 0.85))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.functions import normalize as N
-from weftlink.functions.similarity import partial_ratio, ratio, token_set_ratio, token_sort_ratio
+from weftlink.functions.similarity import partial_ratio, ratio, sorted_words, with_token_set
 
 # Names and order of the features.
 FEATURES = (
@@ -20,6 +20,7 @@ def prepared(records: DataFrame, side: str) -> DataFrame:
     return records.select(
         F.col("entity_id").alias("s1_id" if side == "a" else "t_id"), F.col("name").alias(f"{side}_name"), F.col("address").alias(f"{side}_addr"),
         N.squash("name").alias(f"{side}_squash"), N.words("name").alias(f"{side}_words"), F.array_distinct(N.words("address")).alias(f"{side}_places"),
+        sorted_words(F.col("name")).alias(f"{side}_name_sorted"), sorted_words(F.col("address")).alias(f"{side}_addr_sorted"),
         N.number_set("address").alias(f"{side}_numbers"), N.number_set("address", 5, 6).alias(f"{side}_postals"), N.first_number("address").alias(f"{side}_first"))
 
 
@@ -35,6 +36,7 @@ def _containment(a: Column, b: Column) -> Column:
 def pair_features(pairs: DataFrame, records: DataFrame, targets: DataFrame) -> DataFrame:
     """s1_id, t_id and the features of each pair (other columns of ``pairs`` stay)."""
     rows = pairs.join(prepared(records, "a"), "s1_id").join(prepared(targets, "b"), "t_id")
+    rows = with_token_set(with_token_set(rows, "a_name", "b_name", "names_as_sets"), "a_addr", "b_addr", "places_as_sets")
     c = F.col
     empty = (c("a_addr") == "") | (c("b_addr") == "")
     a_first, b_first = F.get("a_words", F.lit(0)), F.get("b_words", F.lit(0))
@@ -46,8 +48,8 @@ def pair_features(pairs: DataFrame, records: DataFrame, targets: DataFrame) -> D
     coded = (F.size("a_postals") > 0) & (F.size("b_postals") > 0)
     addressed = lambda x, other=0.0: F.when(empty, other).otherwise(x)
     values = {
-        "n_ts_ratio": token_set_ratio(c("a_name"), c("b_name")),
-        "n_sort_ratio": token_sort_ratio(c("a_name"), c("b_name")),
+        "n_ts_ratio": c("names_as_sets"),
+        "n_sort_ratio": ratio(c("a_name_sorted"), c("b_name_sorted")),
         "n_ratio": ratio(c("a_name"), c("b_name")),
         "n_partial": partial_ratio(c("a_name"), c("b_name")),
         "n_sq_ratio": ratio(c("a_squash"), c("b_squash")),
@@ -57,8 +59,8 @@ def pair_features(pairs: DataFrame, records: DataFrame, targets: DataFrame) -> D
         "n_containment": _containment(F.array_distinct("a_words"), F.array_distinct("b_words")),
         "n_len_ratio": F.when(long > 0, short / F.greatest(long, F.lit(1))).otherwise(1.0),
         "len_diff": (long - short).cast("double"),
-        "a_ts_ratio": addressed(token_set_ratio(c("a_addr"), c("b_addr"))),
-        "a_sort_ratio": addressed(token_sort_ratio(c("a_addr"), c("b_addr"))),
+        "a_ts_ratio": addressed(c("places_as_sets")),
+        "a_sort_ratio": addressed(ratio(c("a_addr_sorted"), c("b_addr_sorted"))),
         "a_containment": addressed(_containment(c("a_places"), c("b_places"))),
         "num_jaccard": addressed(F.when(some, shared / F.greatest(F.size(F.array_union("a_numbers", "b_numbers")), F.lit(1))).when(none, 0.5).otherwise(0.0)),
         "num_exact": addressed(F.when(some, _flag(shared > 0)).when(none, 0.5).otherwise(0.0)),

@@ -94,9 +94,10 @@ class Matcher:
 def train_matcher(labelled: DataFrame, params: MatcherParams = MatcherParams()) -> Matcher:
     """Fit on rows with the features, s1_id and label; the threshold is the best one for records that are held out."""
     p = params
-    rows = entity_split(labelled)
+    rows = entity_split(labelled).persist()  # boosting reads them once for each tree
     learner = GBTClassifier(labelCol="label", featuresCol="features", stepSize=p.step, maxDepth=p.depth, maxIter=p.iterations, subsamplingRate=p.subsample,
                             featureSubsetStrategy=p.features, minInstancesPerNode=p.least, seed=p.seed)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), learner]).fit(rows.where("NOT held_out"))
     best = best_threshold(threshold_sweep(Matcher(model, 0.5).score(rows.where("held_out")))).head()
+    rows.unpersist()
     return Matcher(model, best["threshold"] if best else 0.5)

@@ -16,6 +16,8 @@ from weftlink.plans import entities as E
 #: Limits that bind at the scale of the test tables; production defaults are those of the operators.
 PARAMS = blocking.BlockingParams(max_df=40, pool=20, per_source=3)
 THRESHOLD = 0.80
+#: Trees of the queries' matcher; few are enough for tables of this size.
+MATCHER = training.MatcherParams(iterations=20)
 
 
 class View:
@@ -90,7 +92,8 @@ def _r(*names: str) -> list[Column]:
 def _pair_kernel(kernel, name: str):
     def query(v: View) -> DataFrame:
         pairs = v.topk().join(v.s1.select(F.col("entity_id").alias("s1_id"), F.col("name").alias("a")), "s1_id").join(v.t.select(F.col("entity_id").alias("t_id"), F.col("name").alias("b")), "t_id")
-        return pairs.select("s1_id", "t_id", F.round(kernel(F.col("a"), F.col("b")), 4).alias(name))
+        scored = K.with_token_set(pairs, "a", "b", "k") if kernel is K.token_set_ratio else pairs.withColumn("k", kernel(F.col("a"), F.col("b")))
+        return scored.select("s1_id", "t_id", F.round("k", 4).alias(name))
 
     return query
 
@@ -144,14 +147,14 @@ def _match_lists(v: View) -> DataFrame:
 
 
 def _importances(v: View) -> DataFrame:
-    gains = training.train_matcher(v.labelled()).importances()[:8]
+    gains = training.train_matcher(v.labelled(), MATCHER).importances()[:8]
     return v.spark.createDataFrame(gains, "feature string, gain double")
 
 
 def _gbt(v: View) -> DataFrame:
-    matcher = training.train_matcher(v.labelled())
-    pairs = features.pair_features(v.candidates().select("s1_id", "t_id", "a_name", "a_addr", "b_name", "b_addr"), v.s1, v.t)
-    return assignment.decide(matcher.score(pairs), matcher.threshold).select("s1_id", "t_id", F.round("p", 4).alias("p"))
+    matcher = training.train_matcher(v.labelled(), MATCHER)
+    scored = matcher.score(features.pair_features(v.candidates().select("s1_id", "t_id"), v.s1, v.t)).select("s1_id", "t_id", "p")
+    return assignment.decide(blocking.with_records(scored, v.s1, v.t), matcher.threshold).select("s1_id", "t_id", F.round("p", 4).alias("p"))
 
 
 def _partitions(v: View) -> DataFrame:
