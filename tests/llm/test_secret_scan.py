@@ -1,3 +1,7 @@
+import random
+import string
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,3 +57,31 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_forest_without_findings_keeps_every_candidate(spark):
     forest = train_forest([], SecretParams())
     assert scan_secrets(docs(spark, [(1, TEXT, "", "")]), forest).select(F.sum("n_secrets")).head()[0] == 3
+
+
+def test_long_secrets_are_found_and_masked_whole(spark):
+    r = random.Random(3)
+    pick = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    lines = lambda n, br="\n": br.join(pick(64) for _ in range(n))
+    header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    secrets = [
+        ('token = "', "eyJ" + pick(300) + ".eyJ" + pick(1200) + "." + pick(493), '" end'),
+        ("token: ", pick(2000), " end"),
+        ("see ", f"-----BEGIN RSA PRIVATE KEY-----\n{lines(150)}\n-----END RSA PRIVATE KEY-----", " end"),
+        ("see ", f"-----BEGIN RSA PRIVATE KEY-----\n{header}{lines(150)}\n-----END RSA PRIVATE KEY-----", " end"),
+        ("see '", f"-----BEGIN RSA PRIVATE KEY-----\n{header}{lines(20)}\n-----END RSA PRIVATE KEY-----".replace("\n", "\\n"), "' end"),
+    ]
+    rows = [(i, a + s + b, "en", "a") for i, (a, s, b) in enumerate(secrets)]
+    found = {x.doc_id: [(s.start, s.length) for s in x.secrets] for x in scan_secrets(docs(spark, rows), FOREST).collect()}
+    assert found == {i: [(len(a), len(s))] for i, (a, s, _) in enumerate(secrets)}
+    assert {x.doc_id: x.text for x in redact(docs(spark, rows), FOREST).collect()} == {i: f"{a}[SECRET]{b}" for i, (a, _, b) in enumerate(secrets)}
+    phrase = " ".join(pick(8) for _ in range(80))
+    assert [phrase] == [t[s:e] for t in [f'password: "{phrase}"'] for s, e, _ in candidates(t)]
+
+
+def test_long_texts_take_linear_time():
+    begin = "-----BEGIN RSA PRIVATE KEY-----\n"
+    for text in ('token="' + "a b" * 300_000, 'password="' * 100_000, begin * 30_000, begin + "A" * 900_000, "a" * 900_000, "key-" * 200_000):
+        at = time.process_time()
+        candidates(text)
+        assert time.process_time() - at < 5

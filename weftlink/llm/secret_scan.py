@@ -2,9 +2,10 @@
 
 A candidate is (a) a run of 16 or more characters of a-z, A-Z, 0-9, + / _ = . - with a digit in it, (b) the
 value of at least 8 characters that is assigned to a name with a credential word, or (c) a private key
-block. Features are the candidate's length, its character transitions and entropy, how much of it dictionary
-words cover, whether it lies in a path or address, and the words beside it. The forest is trained on
-labelled findings and drops the false ones: digests, identifiers, placeholders, paths, long words.
+block, with or without header lines. None has an upper limit of length. Features are the candidate's
+length, its character transitions and entropy, how much of it dictionary words cover, whether it lies in
+a path or address, and the words beside it. The forest is trained on labelled findings and drops the
+false ones: digests, identifiers, placeholders, paths, long words.
 
 Defined cases: a null or empty text has no candidates; overlapping candidates count once (the longer);
 repeated rows and null ids keep their rows; extra columns are ignored; an empty table gives no rows.
@@ -27,9 +28,11 @@ from weftlink.llm.common import fresh, texts
 from weftlink.llm.secret_findings import CREDENTIAL_WORDS, DICTIONARY, HARMLESS_WORDS, generated_findings
 from weftlink.llm.trees import Binned, Tree
 
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,512}")
-_ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(CREDENTIAL_WORDS)})[\w.\-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}(?:[\"']([^\"'\n]{{8,512}})[\"']|([^\s\"',;<>]{{8,512}}))")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,8000}?-----END [A-Z ]{0,30}PRIVATE KEY-----")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}+")
+_ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(CREDENTIAL_WORDS)})[\w.\-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}(?:[\"']([^\"'\n]{{8,}}+)[\"']|([^\s\"',;<>]{{8,}}+))")
+_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
+#: What stands between the marks: header lines, if any, then base64; line breaks may be escaped.
+_BODY = re.compile(r"(?:(?:\s|\\[nrt])*+[A-Za-z][A-Za-z0-9\-]*+:[^\n\\]*+(?=[\n\\]))*+[A-Za-z0-9+/=\s\\]{16,}+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NEAR = re.compile(r"[a-z]+")
 _PREFIXES = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|SG\.|npm_|pypi-)")
@@ -51,13 +54,25 @@ class SecretParams:
     seed: int = 7
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private key blocks: each END mark with the last BEGIN mark before it, so that every body is read once."""
+    begin = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin:
+            if _BODY.fullmatch(text, begin.end(), m.start()):
+                yield begin.start(), m.end()
+            begin = None
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order, not overlapping."""
     found = [(m.start(), m.end(), "run") for m in _RUN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(m.lastindex), m.end(m.lastindex), "assigned") for m in _ASSIGNED.finditer(text)]
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "block") for m in _BLOCK.finditer(text)]
+        found += [(s, e, "block") for s, e in _blocks(text)]
     out: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
         if out and x[0] < out[-1][1]:
