@@ -80,3 +80,19 @@ def test_empty_table_and_ids(spark):
     assert pack(docs(spark, []), PackParams(PATH)).collect() == []
     got = pack(docs(spark, ROWS[4:5]), PackParams(PATH), keep_ids=True).collect()
     assert got[0]["ids"][-1] == 2 and len(got[0]["ids"]) == got[0]["length"]
+
+
+def test_long_and_short_documents_in_different_partitions(spark):
+    r = np.random.default_rng(1)
+    sizes = [*r.integers(70, 95, 1600), *r.integers(8, 50, 3200)]
+    rows = [(i, " ".join("a" * n), None, None) for i, n in enumerate(sizes)]
+    p = PackParams(PATH, capacity=128, slack=1)
+    got = pack(docs(spark, rows).repartitionByRange(24, "doc_id"), p).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == [(i, n + 1) for i, n in enumerate(sizes)]
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in seqs.values():
+        own.sort()
+        assert [o for o, _ in own] == list(np.cumsum([0] + [n for _, n in own[:-1]])) and sum(n for _, n in own) <= 128
+    assert len(seqs) <= 1.03 * -(-sum(n + 1 for n in sizes) // 128)

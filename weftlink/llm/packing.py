@@ -1,15 +1,17 @@
 """Best-fit packing of tokenised documents into fixed-size sequences, by hierarchical residual packing.
 
 1. Every input partition is tokenised once. Documents longer than a sequence are cut into full
-   pieces (the first piece takes what doesn't fill one); full pieces are sequences of their own, and
-   all other pieces are packed best-fit, longest first, inside the partition.
+   pieces (the first piece takes what doesn't fill one). Pieces, without their ids unless those are
+   asked for, are dealt over as many partitions by a hash of their number, so that long and short ones
+   meet wherever they stood in the input; full pieces are sequences of their own, and all other pieces
+   are packed best-fit, longest first, inside the partition.
 2. Bins that are nearly full are final. Underfull bins become items: groups of ``fan_in``
    partitions merge theirs best-fit, again emit nearly full bins, and hand the rest up the tree.
 3. One group is left at the top. A group hands up at most ``carry`` bins, its emptiest; fuller ones are
    final at once, so no task's memory grows with the corpus and no row is lost by it.
 
 Only bin descriptions (a few integers for each underfull bin) travel up the tree; pieces are written
-once to the shared folder, and pieces in final bins are never shuffled.
+to the shared folder before and after they are dealt, and pieces in final bins are shuffled only then.
 
 Defined cases: a null or empty text is a document of one end-of-document id; repeated rows are packed
 each on its own; a null doc_id stays null; extra columns are ignored; an empty table packs into
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,31 +133,19 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.asarray(fill, np.int64)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin_id long, bin_offset long, bin_fill long, grp long"
+CUT = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACE = "bin_id long, bin_offset long, bin_fill long, grp long"
 
 
-def _pack_partition(batches: Iterator[pd.DataFrame], p: PackParams, keep_ids: bool) -> Iterator[pd.DataFrame]:
+def _cut_partition(batches: Iterator[pd.DataFrame], p: PackParams, keep_ids: bool) -> Iterator[pd.DataFrame]:
+    """The pieces of each document; ``key`` numbers them."""
     enc = encoder(p.tokenizer)
     end = int(p.end_id).to_bytes(4, "little")
-    part = TaskContext.get().partitionId()
-    next_bin = part << 33
+    key = TaskContext.get().partitionId() << 33
     cap = p.capacity
-
-    def flush(rows: list[tuple], ids: list[bytes]) -> pd.DataFrame:
-        nonlocal next_bin
-        docs, piece, start, length, crc = (np.asarray(x) for x in zip(*[r[1:] for r in rows]))
-        bins, offsets, fill = best_fit(length, cap)
-        out = pd.DataFrame({
-            "doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "piece": piece.astype("int32"), "start": start, "length": length, "ids_crc32": crc,
-            "bin_id": bins + next_bin, "bin_offset": offsets, "bin_fill": fill[bins], "grp": part})
-        if keep_ids:
-            out["ids"] = [np.frombuffer(x, "<u4").astype("int32") for x in ids]
-        next_bin += len(fill)
-        return out
-
-    rows: list[tuple] = []
-    ids: list[bytes] = []
     for pdf in batches:
+        rows: list[tuple] = []
+        ids: list[bytes] = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             buf = enc.ids(text) + end
             n = len(buf) // 4
@@ -164,15 +155,41 @@ def _pack_partition(batches: Iterator[pd.DataFrame], p: PackParams, keep_ids: bo
             piece = 0
             while at < n:
                 own = buf[4 * at:4 * to]
-                rows.append((doc, 0, piece, at, to - at, zlib.crc32(own)))
+                rows.append((key, doc, piece, at, to - at, zlib.crc32(own)))
+                key += 1
                 if keep_ids:
                     ids.append(own)
                 at, to, piece = to, to + cap, piece + 1
-        if len(rows) >= p.flush:
-            yield flush(rows, ids)
-            rows, ids = [], []
-    if rows:
-        yield flush(rows, ids)
+        if rows:
+            keys, docs, piece, start, length, crc = zip(*rows)
+            out = pd.DataFrame({
+                "key": keys, "doc_id": pd.array(docs, dtype="Int64"), "piece": np.asarray(piece, "int32"), "start": start, "length": length, "ids_crc32": crc})
+            if keep_ids:
+                out["ids"] = [np.frombuffer(x, "<u4").astype("int32") for x in ids]
+            yield out
+
+
+def _pack_partition(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    next_bin = part << 33
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal next_bin
+        rows = pa.Table.from_batches(held)
+        bins, offsets, fill = best_fit(rows["length"].to_numpy(), p.capacity)
+        for name, x in (("bin_id", bins + next_bin), ("bin_offset", offsets), ("bin_fill", fill[bins]), ("grp", np.full(len(bins), part))):
+            rows = rows.append_column(name, pa.array(x, pa.int64()))
+        next_bin += len(fill)
+        yield from rows.to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= p.flush:
+            yield from flush(held)
+            held = []
+    if held:
+        yield from flush(held)
 
 
 BINS = "bin_id long, cur long, shift long, fill long, grp long, final boolean"
@@ -205,8 +222,11 @@ def _merger(p: PackParams, top: bool):
 def pack(docs: DataFrame, params: PackParams, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     p = params
-    schema = PIECES + ", ids array<int>" * keep_ids
-    pieces = staged(texts(docs, id_col, text_col).mapInPandas(lambda b: _pack_partition(b, p, keep_ids), schema), "pieces")
+    schema = CUT + ", ids array<int>" * keep_ids
+    cut = staged(texts(docs, id_col, text_col).mapInPandas(lambda b: _cut_partition(b, p, keep_ids), schema), "cut")
+    parts = (cut.agg(F.max(F.shiftright("key", 33)).alias("g")).head()["g"] or 0) + 1
+    dealt = cut.repartition(parts, "key").sortWithinPartitions(F.xxhash64("key"), "key").drop("key")
+    pieces = staged(dealt.mapInArrow(lambda b: _pack_partition(b, p), f"{schema.partition(', ')[2]}, {PLACE}"), "pieces")
     nearly = p.capacity - p.slack
     bins = pieces.where((F.col("bin_offset") == 0) & (F.col("bin_fill") < nearly)).select(
         "bin_id", F.col("bin_id").alias("cur"), F.lit(0).cast("long").alias("shift"), F.col("bin_fill").alias("fill"), "grp", F.lit(False).alias("final"))
