@@ -53,3 +53,52 @@ def test_awkward_documents(spark):
     assert len(got) == 10 and all(r.labels == "" and r.score == 0 for r in got)
     assert scan_licenses(docs(spark, [])).collect() == []
     assert scan_licenses(docs(spark, [(None, "Apache license, MIT LICENSE", None, None)])).head().base_labels == "apache,mit"
+
+
+def covers(text, a=A):
+    return [(x["label"], x["first_word"], x["last_word"], x["cover"]) for x in scan_text(text, a)[7]]
+
+
+def test_stray_matches_take_nothing_from_a_template():
+    for label, text in TEMPLATES:
+        n, words = len(words_of(text)), text.split()
+        for at in {*range(0, len(words) - 3, 7), len(words) - 3}:
+            stray = " ".join(words[at:at + 3])
+            k = len(words_of(stray))
+            assert (label, k + 1, k + n, 1) in [x for x in covers(f"{stray} zzz {text}")]
+            if n < 30:  # halves of shorter ones are too short to chain
+                continue
+            half = len(words) // 2
+            split = covers(" ".join([*words[:half], "zzz", stray, "zzz", *words[half:]]))
+            assert any(x[0] == label and x[1] == 0 and x[2] == n + k + 1 and x[3] >= (n - 4) / n for x in split), (label, at, split)
+    label, text = TEMPLATES[0]
+    n = len(words_of(text))
+    assert [x[1:] for x in covers(f"{text} zzz {text}") if x[0] == label] == [(0, n - 1, 1), (n + 1, 2 * n, 1)]
+
+
+def brute_covers(runs, a, k):
+    """The most that any chain of runs covers, from all chains."""
+    nodes = sorted((end, t_end, length) for end, length, v in runs for t_end in a.states[v].ends.get(k, ()))
+
+    def longest(i):
+        end, t_end, length = nodes[i]
+        best = length
+        for j in range(i):
+            last, t_last, _ = nodes[j]
+            cut = max(0, last - end + length, t_last - t_end + length)
+            if last < end and cut < length and end - length + cut - last <= a.params.max_gap and t_end - length + cut - t_last <= a.params.max_gap:
+                best = max(best, longest(j) + length - cut)
+        return best
+
+    return max(map(longest, range(len(nodes))), default=0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdx"), max_size=14).map(" ".join))
+def test_chains_cover_the_most_possible(text):
+    a = automaton(ScanParams(templates=(("one", "a b c a b d a b c d"), ("two", "c d a b")), phrases=(("q r", "q"),), min_match=2, max_gap=2, cover=0.5))
+    runs, _ = a.matches(words_of(text))
+    spans = a.spans(runs)
+    for k in (0, 1):
+        best = brute_covers(runs, a, k) / a.lengths[k]
+        assert max((s[3] for s in spans if s[0] == k), default=0) == (min(1, best) if best >= 0.5 else 0)

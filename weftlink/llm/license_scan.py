@@ -3,9 +3,11 @@
 The automaton holds every run of words of every template and phrase; its size depends on the
 templates alone. A document is streamed through it word by word: the state tells the longest run of
 words ending here that some template has (matching statistics). Runs that can't be made longer and
-have at least ``min_match`` words are chained, template by template, into spans whose words follow
-each other in text and template; a span that covers enough of its template gives the template's
-label. Phrases count at every place where their words stand consecutively: a place is reached when
+have at least ``min_match`` words are chained, template by template and for each place that a run has
+in the template, into spans whose words follow each other in text and template. Each run keeps the
+chain that covers most up to it, which may be the run alone, so a stray match can't take words from what
+follows; a span that covers enough of its template gives the template's label, and where such spans of one
+template overlap the one that covers most stays. Phrases count at every place where their words stand consecutively: a place is reached when
 the phrase's own state lies on the suffix chain of the current state.
 
 Words: A-Z lower-cased, then runs of a-z, 0-9 and characters outside ASCII.
@@ -16,6 +18,7 @@ keep their rows; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,7 +49,7 @@ class _State:
     next: dict[int, int] = field(default_factory=dict)
     link: int = -1
     length: int = 0
-    ends: dict[int, int] = field(default_factory=dict)  #: template -> its first position where this state's runs end
+    ends: dict[int, list[int]] = field(default_factory=dict)  #: template -> its positions where this state's runs end, if they are worth chaining
     phrases: tuple[int, ...] = ()
 
 
@@ -70,8 +73,8 @@ class SuffixAutomaton:
             for at, w in enumerate(seq):
                 v = self.states[v].next[w]
                 u = v
-                while u > 0 and k not in self.states[u].ends:
-                    self.states[u].ends[k] = at
+                while u > 0 and self.states[u].length >= params.min_match:
+                    self.states[u].ends.setdefault(k, []).append(at)
                     u = self.states[u].link
         own: dict[int, list[int]] = {}
         for k, seq in enumerate(seqs[len(params.templates):]):
@@ -143,27 +146,34 @@ class SuffixAutomaton:
 
     def spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
         """Chains of runs: (template, first word, last word, share of the template covered)."""
-        gap, found = self.params.max_gap, []
-        open_: dict[int, list[int]] = {}  # template -> first word, last word, template's next word, words covered
-
-        def close(k: int) -> None:
-            first, last, _, covered = open_.pop(k)
-            if (share := min(1.0, covered / self.lengths[k])) >= self.params.cover:
-                found.append((k, first, last, share))
-
+        gap = self.params.max_gap
+        live: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> best chains: last word, template's next word, words covered, first word
+        full: dict[int, list[tuple[int, int, int]]] = {}  # template -> chains that cover enough: words covered, first word, last word
         for end, length, v in runs:
-            for k, t_end in self.states[v].ends.items():
-                start, t_start = end - length + 1, t_end - length + 1
-                if k in open_:
-                    first, last, t_next, covered = open_[k]
-                    cut = max(0, last + 1 - start, t_next - t_start)  # words that the chain already has
-                    if start - last <= gap + 1 and t_start - t_next <= gap and cut < length and t_start >= 0:
-                        open_[k] = [first, end, t_end + 1, covered + length - cut]
-                        continue
-                    close(k)
-                open_[k] = [start, end, t_end + 1, length]
-        for k in list(open_):
-            close(k)
+            start = end - length + 1
+            for k, positions in self.states[v].ends.items():
+                # runs start ever later, so what ends too far before this one can't be joined again
+                chains = [c for c in live.get(k, ()) if start - c[0] <= gap + 1]
+                own = []
+                for t_end in positions:
+                    t_start = t_end - length + 1
+                    covered, first = length, start
+                    for last, t_next, before, head in chains:
+                        cut = max(0, last + 1 - start, t_next - t_start)  # words that the chain already has, or that lie behind it in the template
+                        if cut < length and start + cut - last <= gap + 1 and t_start + cut - t_next <= gap and (before + length - cut, head) > (covered, first):
+                            covered, first = before + length - cut, head
+                    own.append((end, t_end + 1, covered, first))
+                    if covered >= self.params.cover * self.lengths[k]:
+                        full.setdefault(k, []).append((covered, first, end))
+                live[k] = chains + own
+        found = []
+        for k, spans in full.items():
+            taken: list[tuple[int, int]] = []  # in order, not overlapping
+            for covered, first, last in sorted(spans, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                at = bisect_left(taken, (first, last))
+                if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                    taken.insert(at, (first, last))
+                    found.append((k, first, last, min(1.0, covered / self.lengths[k])))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
