@@ -7,8 +7,8 @@ length, its character transitions and entropy, how much of it dictionary words c
 a path or address, and the words beside it. The forest is trained on labelled findings and drops the
 false ones: digests, identifiers, placeholders, paths, long words.
 
-Defined cases: a null or empty text has no candidates; overlapping candidates count once (the longer);
-repeated rows and null ids keep their rows; extra columns are ignored; an empty table gives no rows.
+Defined cases: a null or empty text has no candidates; overlapping candidates are judged each on its own and
+count once, and those of them that are secrets make one span; repeated rows and null ids keep their rows; extra columns are ignored; an empty table gives no rows.
 Offsets count code points.
 """
 
@@ -66,15 +66,20 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
             begin = None
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), in order, not overlapping."""
+def all_candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind), in order, each span once; they may overlap."""
     found = [(m.start(), m.end(), "run") for m in _RUN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(m.lastindex), m.end(m.lastindex), "assigned") for m in _ASSIGNED.finditer(text)]
     if "-----BEGIN" in text:
         found += [(s, e, "block") for s, e in _blocks(text)]
+    found.sort(key=lambda x: (x[0], -x[1], x[2]))
+    return [x for i, x in enumerate(found) if not i or x[:2] != found[i - 1][:2]]
+
+
+def _longest(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
-    for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+    for x in found:
         if out and x[0] < out[-1][1]:
             if x[1] - x[0] > out[-1][1] - out[-1][0]:
                 out[-1] = x
@@ -83,6 +88,28 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind), in order, not overlapping: of those that overlap the longer."""
+    return _longest(all_candidates(text))
+
+
+def _merged(secrets: list[tuple[int, int, str, float]]) -> list[dict]:
+    """Secrets that overlap as one span, with the kind of the longest and the highest score."""
+    out: list[dict] = []
+    most = 0
+    for s, e, kind, score in secrets:
+        if out and s < out[-1]["start"] + out[-1]["length"]:
+            last = out[-1]
+            last["length"] = max(last["length"], e - last["start"])
+            last["score"] = max(last["score"], score)
+            if e - s > most:
+                last["kind"], most = kind, e - s
+        else:
+            out.append({"start": s, "length": e - s, "kind": kind, "score": score})
+            most = e - s
+    return out
+
+
 def _kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
@@ -161,13 +188,13 @@ def secret_findings(text: Column, forest: Forest) -> Column:
         for batch in batches:
             found, rows = [], []
             for t in batch:
-                own = candidates(t or "")
+                own = all_candidates(t or "")
                 found.append(own)
                 rows += [features(t, s, e, p.context) for s, e, _ in own]
             scores = iter(forest.scores(np.asarray(rows)).tolist() if rows else ())
             out = []
             for t, own in zip(batch, found):
-                kept = [{"start": s, "length": e - s, "kind": kind, "score": score} for (s, e, kind), score in zip(own, scores) if score >= p.threshold]
+                kept = _merged([(*x, score) for x, score in zip(own, scores) if score >= p.threshold])
                 masked = None
                 if kept:
                     parts, at = [], 0
@@ -175,7 +202,7 @@ def secret_findings(text: Column, forest: Forest) -> Column:
                         parts += [t[at:k["start"]], p.mask]
                         at = k["start"] + k["length"]
                     masked = "".join(parts) + t[at:]
-                out.append((len(own), kept, masked))
+                out.append((len(_longest(own)), kept, masked))
             yield pd.DataFrame(out, columns=["n_candidates", "secrets", "redacted"])
 
     return F.pandas_udf(scan, FOUND)(text)
