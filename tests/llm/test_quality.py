@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm.awkward import docs
-from weftlink.llm.quality import QualityParams, RuleModel, fit_rules, score_quality, train_quality
+from weftlink.llm.quality import STATISTICS, QualityParams, RuleModel, fit_rules, score_quality, statistics, train_quality
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -32,6 +33,36 @@ def test_column_equals_numpy(spark):
         assert r.s == pytest.approx(1 / (1 + np.exp(0.5 - 1.5 * (r.a <= 0.4 and r.b > 0.2) + 2.0 * (r.b <= 0.9))))
 
 
+def plain_statistics(t):
+    """The statistics again, character by character."""
+    chars, words, lines = max(1, len(t)), regex.split(r"[ \n\t\r]+", t), t.split("\n")
+    share = lambda kind: len(regex.findall(kind, t)) / chars
+    return {"chars": len(t), "upper_share": share(r"\p{Lu}"), "digit_share": share("[0-9]"), "symbol_share": share(r"""[^\p{L}\p{N} \t\n\x0B\f\r.,;:!?'"()\-]""") if t else 1.0, "bang_share": share("!"), "bar_share": share(r"\|"),
+            "stop_share": share(r"\."), "comma_share": share(","), "word_length": chars / len(words), "distinct_words": len(set(words)) / len(words), "line_length": chars / len(lines), "repeated_lines": 1 - len(set(lines)) / len(lines)}
+
+
+def test_statistics_and_scores_equal_a_plain_form(spark):
+    """Every statistic, and the score that follows from it, text by text."""
+    sf = "/root/testdata/sf0.001"
+    d = docs(spark).select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    model = train_quality(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    own = F.coalesce("text", F.lit(""))
+    for r in d.select("text", statistics(own).alias("s"), F.transform(F.array(statistics(own)), lambda x: model.column(x))[0].alias("score")).collect():
+        want = plain_statistics(r.text or "")
+        assert r.s.asDict() == pytest.approx(want) and tuple(want) == STATISTICS
+        x = [r.s[n] for n in STATISTICS]
+        total = model.intercept + sum(w for w, rule in model.rules if all((x[f] <= t) if le else (x[f] > t) for f, le, t in rule))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_ids_with_several_texts_are_learnt_once(spark):
+    """Whatever their number and order."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    more = d.unionByName(d.withColumn("text", F.concat("text", F.lit(" more"), "text"))).unionByName(d)
+    assert train_quality(more, labels) == train_quality(more.orderBy(F.desc("text")), labels)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -6,8 +6,9 @@
 3. Lasso logistic regression over the rules keeps few of them and gives their weights.
 4. The kept rules are compiled into one Spark column expression, so scoring needs no Python and no shuffle.
 
-Defined cases: a null text is an empty one and gets a score like any other; repeated rows and null ids
-keep their rows; a null label or id is not learnt from, and an id with several labels has its smallest; without
+Defined cases: a null text is an empty one and gets a score like any other; the statistics are of whole texts, however long; repeated
+rows and null ids keep their rows; a null label or id is not learnt from, an id with several labels has its smallest, and one with several texts is learnt from
+by the text of the smallest statistics; without
 labels of both kinds the score is the same for every text: the share of label 1, 0.5 without any; extra columns
 are ignored by ``score_quality`` and kept by ``quality_score``; an empty table gives no rows.
 """
@@ -178,7 +179,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
     known = known.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled)
     rows = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("s"))
-    rows = rows.select("doc_id", "y", "s.*").limit(2 * p.labelled).toPandas()
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("s").alias("s")).select("doc_id", "y", "s.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["y"].to_numpy(np.float64), STATISTICS, p)
 
