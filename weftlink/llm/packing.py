@@ -5,10 +5,11 @@
    asked for, are dealt over as many partitions by a hash of their number, so that long and short ones
    meet wherever they stood in the input; full pieces are sequences of their own, and all other pieces
    are packed best-fit, longest first, inside the partition.
-2. Bins that are nearly full are final. Underfull bins become items: groups of ``fan_in``
-   partitions merge theirs best-fit, again emit nearly full bins, and hand the rest up the tree.
-3. One group is left at the top. A group hands up at most ``carry`` bins, its emptiest; fuller ones are
-   final at once, so no task's memory grows with the corpus and no row is lost by it.
+2. Bins that are nearly full are final. Underfull bins become items: groups, ``fan_in`` times fewer at
+   each level, merge theirs best-fit, again emit nearly full bins, and hand all others up the tree.
+3. At the top there is one group, or as many as it takes for none to hold much more than ``group`` bins: then what is left
+   is final. Best-fit loses one bin for a group or so, one in ``group``, at any size of the corpus; no bin is closed
+   before it has reached the top.
 
 Only bin descriptions (a few integers for each underfull bin) travel up the tree; pieces are written
 to the shared folder before and after they are dealt, and pieces in final bins are shuffled only then.
@@ -41,7 +42,7 @@ class PackParams:
     end_id: int = 2  #: appended to every document
     slack: int = 8  #: a bin with no more room than this is nearly full
     fan_in: int = 8
-    carry: int = 20_000
+    group: int = 50_000  #: underfull bins that one task merges, but for chance
     flush: int = 200_000  #: pieces that are packed together at most in a partition
 
 
@@ -206,8 +207,6 @@ def _merge_group(pdf: pd.DataFrame, p: PackParams, top: bool) -> pd.DataFrame:
     done = fill >= p.capacity - p.slack
     if top:
         done[:] = True
-    elif (open_ := np.flatnonzero(~done)).size > p.carry:
-        done[open_[np.argsort(fill[open_], kind="stable")[p.carry:]]] = True
     at = np.searchsorted(cur, pdf["cur"].to_numpy())
     return pdf.assign(cur=name[bins[at]], shift=pdf["shift"] + offsets[at], fill=fill[bins[at]], final=done[bins[at]])
 
@@ -233,9 +232,12 @@ def pack(docs: DataFrame, params: PackParams, id_col: str = "doc_id", text_col:
     groups = (pieces.agg(F.max("grp").alias("g")).head()["g"] or 0) + 1
     placed: list[DataFrame] = []
     while True:
-        groups = -(-groups // p.fan_in)
-        top = groups == 1
-        merged = staged(bins.withColumn("grp", F.expr(f"grp div {p.fan_in}")).groupBy("grp").applyInPandas(_merger(p, top), BINS), "bins")
+        left = bins.select("cur").distinct().count() if placed else bins.count()
+        least = max(1, -(-left // p.group))
+        groups, before = max(least, -(-groups // p.fan_in)), groups
+        top = groups == 1 or groups == least or groups >= before
+        dealt = bins.withColumn("grp", F.pmod(F.xxhash64("cur"), F.lit(groups)))
+        merged = staged(dealt.groupBy("grp").applyInPandas(_merger(p, top), BINS), "bins")
         placed.append(merged.where("final").select("bin_id", "cur", "shift"))
         if top:
             break
