@@ -12,7 +12,7 @@ pair of the lowest rank becomes one piece, until no pair has a rank.
 
 Decoding is a higher-order function over the ids that concatenates the pieces' bytes.
 
-Defined cases: a null text is an empty one and has no ids; special strings are ordinary text; repeated rows and
+Defined cases: a null text is an empty one and has no ids; a text of any length is encoded whole, in memory that grows with the longest; special strings are ordinary text; repeated rows and
 null ids keep their rows; extra columns are ignored; an empty table gives no rows; ids that no piece has decode to null.
 """
 
@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,7 @@ class BpeParams:
     ranks: str  #: path of a rank file (base64 piece, rank) on every machine
     pattern: str  #: splits texts before the merges
     table_size: int = 30_000  #: words of the broadcast table at most
-    sample_docs: int = 1_000  #: documents that they come from; doesn't change any id
+    sample_words: int = 300_000  #: words in texts that they come from; doesn't change any id
     table_bytes: int = 32  #: longest word of the table
     cache: int = 600_000  #: encoded words that a worker remembers at most; of whitespace chunks a third as many
     flush: int = 2_000_000  #: ids in an output batch
@@ -115,11 +116,18 @@ def jvm_pattern(pattern: str) -> str:
 
 
 def frequent_words(text: DataFrame, p: BpeParams, ranks: dict[bytes, int]) -> dict[str, bytes]:
-    """The broadcast tier: ids (little-endian, 32 bits) of the sample's commonest distinct words."""
-    words = text.select("text").limit(p.sample_docs).select(F.explode(F.regexp_extract_all("text", F.lit(jvm_pattern(p.pattern)), F.lit(0))).alias("word"))
-    words = words.where(F.octet_length("word").between(1, p.table_bytes)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    common = words.orderBy(F.desc("n"), "word").limit(p.table_size).select("word").repartition("word")
-    return {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in fold_words(common, ranks).collect()}
+    """The broadcast tier: ids (little-endian, 32 bits) of the commonest distinct words of a bounded sample, the first ones of the table.
+
+    ``take`` reads partitions until it has enough, so neither shuffle nor work grows with the table.
+    """
+    words = text.select(F.explode(F.regexp_extract_all("text", F.lit(jvm_pattern(p.pattern)), F.lit(0))).alias("word"))
+    found = Counter(r[0] for r in words.where(F.octet_length("word").between(1, p.table_bytes)).take(p.sample_words))
+    common = sorted(found, key=lambda w: (-found[w], w))[:p.table_size]
+    if not common:
+        return {}
+    spark = text.sparkSession
+    words = spark.createDataFrame([(w,) for w in common], "word string").repartition(max(1, spark.sparkContext.defaultParallelism))
+    return {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in fold_words(words, ranks).collect()}
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
