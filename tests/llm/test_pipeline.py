@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm.awkward import ROWS, docs
-from tests.llm.test_minhash_dedup import brute
+from tests.llm.test_minhash_dedup import A, B, brute
 from tests.llm.test_packing import check
 from weftlink.llm import quality, secret_scan
 
@@ -40,8 +40,13 @@ def test_stages_take_awkward_documents(spark, sf_dir):
         assert out.columns == d.columns
         assert stage(spark, docs(spark, []), sf_dir).count() == 0
     kept = corpus_pipeline.near_dedup_stage(spark, d, sf_dir).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 2, 3, 5, 7, 8, 9, None, None]))
-    assert corpus_pipeline.packing_stage(spark, d, sf_dir).count() >= 11
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 2, 3, 5, 7, 8, 9, None]))
+    assert corpus_pipeline.packing_stage(spark, d, sf_dir).count() >= 11 and corpus_pipeline.packing_stage(spark, docs(spark, []), sf_dir).count() == 0
+
+
+def test_near_dedup_keeps_a_text_under_a_repeated_id(spark, sf_dir):
+    d = docs(spark, [(3, A, "en", "a"), (5, A, "en", "a"), (5, B, "en", "a")])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, d, sf_dir).collect()) == [(3, A), (5, B)]
 
 
 def test_stage_names():
