@@ -23,11 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id; of rows that repeat an id one stays. Rows without an id stay."""
-    classes = minhash_dedup.dedup_documents(docs.select("doc_id", "text"))
-    gone = classes.where("NOT kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near copies stays, that of the smallest id.
+
+    Rows are judged by their texts, so rows that repeat an id with another text stay, as do all empty or null texts; rows
+    without an id are judged like others and come last. Long texts are compared whole.
+    """
+    return minhash_dedup.drop_near_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
