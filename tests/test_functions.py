@@ -70,7 +70,37 @@ def slow_lcs(a, b):
 @given(st.text("abc é", max_size=12), st.text("abc é", max_size=12))
 def test_lcs_and_bounds(a, b):
     assert K.lcs(a, b) == K.lcs(b, a) == slow_lcs(a, b)
-    assert 0 <= K.indel(a, b) <= 100 and 0 <= K.best_window(a, b) <= 100 and K.best_window(a, b) == K.best_window(b, a)
+
+
+WORDS = st.one_of(st.text("abc é\U0001f600", max_size=12), st.text("ab", min_size=60, max_size=70), st.text(max_size=9))
+
+
+@given(st.lists(st.tuples(WORDS, WORDS), max_size=12))
+def test_lengths_of_many_pairs(pairs):
+    pairs = [*pairs, *pairs[:2]]
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert K.lcs_lengths(a, b).tolist() == [slow_lcs(x, y) for x, y in pairs]
+
+
+def slow_windows(a, b):
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    a, b = sorted((a, b), key=len)
+    one = lambda a, b: max(200.0 * slow_lcs(a, w) / (len(a) + len(w)) for w in (b[max(0, e - len(a)):e] for e in range(1, len(a) + len(b))))
+    return max(one(a, b), one(b, a)) if len(a) == len(b) else one(a, b)
+
+
+@given(st.lists(st.tuples(st.text("ab é", max_size=9), st.text("ab é", max_size=14)), max_size=6))
+def test_windows_of_many_pairs(pairs):
+    got = K.best_windows([x for x, _ in pairs], [y for _, y in pairs])
+    assert got == pytest.approx([slow_windows(x, y) for x, y in pairs])
+
+
+def test_long_texts(spark):
+    """Beyond 64 characters and beyond what one SQL integer holds."""
+    rows = [("ab c" * 40, "b ca" * 55), ("x" * 300 + "yz", "zy" + "x" * 200), ("word " * 100, "w")]
+    got = column(spark, rows, K.ratio(F.col("x0"), F.col("x1")))
+    assert got == pytest.approx([200.0 * slow_lcs(a, b) / (len(a) + len(b)) for a, b in rows])
 
 
 def test_partial_ratio(spark):

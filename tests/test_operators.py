@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,39 @@ def test_candidates(spark):
     assert blocking.overlap_join(a, t, BlockingParams(max_df=1)).count() == 0
 
 
+def test_both_ways_of_counting_shared_tokens_agree(spark, sf_dir):
+    v = View(spark, sf_dir)
+    rows = lambda dense, **kw: sorted(map(tuple, blocking.overlap_topk(v.s1, v.t, BlockingParams(dense=dense, **kw)).select("s1_id", "t_id", "overlap", "rank").collect()))
+    for kw in ({"pool": 7}, {"max_df": 12, "pool": 3}):
+        assert rows(0, **kw) == rows(1 << 40, **kw) != []
+
+
+def test_cosine_in_blocks_equals_all_pairs(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 5)))
+    rows = [(f"S{1 + i % 3}-{i}", ["US", "FR"][i % 2], " ".join(word() for _ in range(3)), " ".join(word() for _ in range(r.randint(0, 9)))) for i in range(60)]
+    df = records(spark, rows)
+    got = {(x.s1_id, x.t_id): x.sim for x in blocking.cosine_topk(blocking.count_vectors(df, 3, 4), df.where("entity_id NOT LIKE 'S1-%'"), 100, 0.08, block=7).collect()}
+
+    def grams(name, address):
+        out = {}
+        for w in f"{name} {address}".split():
+            w = f" {w} "
+            for g in [w] if len(w) < 3 else [w[i:i + n] for n in (3, 4) for i in range(len(w) - n + 1)]:
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0].startswith("S1-") and not b[0].startswith("S1-") and a[1] == b[1]:
+                x, y = grams(*a[2:]), grams(*b[2:])
+                sim = sum(x[g] * y.get(g, 0) for g in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+                if sim >= 0.08:
+                    want[a[0], b[0]] = sim
+    assert got == pytest.approx(want, abs=1e-8) and want
+
+
 def test_leading_squash_pairs_give_the_same_top_lists(spark):
     name = lambda i: ["blue ocean", "blueocean", "acme"][i % 3]
     where = lambda i: ["1 road 11111", "2 road 22222", ""][i // 3 % 3]
@@ -141,7 +176,7 @@ def test_result_does_not_depend_on_partitions(spark, sf_dir):
 
 
 def test_invariants(spark, sf_dir):
-    v = View(spark, sf_dir)
+    v = View(spark, sf_dir, BlockingParams(max_df=40, pool=20, per_source=3))
     cand = {(r.s1_id, r.t_id, r.source) for r in v.candidates().collect()}
     match = {(r.s1_id, r.t_id) for r in v.matches().collect()}
     assert match <= {c[:2] for c in cand}

@@ -45,7 +45,7 @@ def test_packaging_is_gated(spark, tmp_path):
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     from weftlink.operators.blocking import candidate_pairs
 
-    rows = E.records(spark, sf_dir)
+    rows = E.records(E.entities(E.documents(spark, sf_dir)))
     a, t = E.reference(rows), E.targets(rows)
     p = BlockingParams(max_df=40, pool=20, per_source=3)
     a.write.parquet(str(tmp_path / "in"))

@@ -1,12 +1,16 @@
 """String similarities from 0 to 100, all built on the longest common subsequence.
 
 The one thing Spark has no expression for is the length of that subsequence, so that alone is an Arrow
-function (bit-parallel, after Hyyro 2004: one machine-integer step for each character); sorting,
-set operations and the arithmetic around it are Spark expressions.
+function (bit-parallel, after Hyyro 2004). Pairs whose shorter side has at most 64 characters go together through one
+numpy step for each character; longer ones take one integer of as many bits as the shorter side has characters. The ratio
+of word sets is one such function as well: as expressions, its sets would be made again for every use of the column.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,37 +36,106 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def indel(a: str, b: str) -> float:
-    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
-
-
-def best_window(a: str, b: str) -> float:
-    """Best ``indel`` of the shorter string and any window of the longer that is as long, or shorter at its ends."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    if len(a) > len(b):
-        a, b = b, a
-
-    def best(a: str, b: str) -> float:
-        n, top = len(a), 0.0
-        if a in b:
-            return 100.0
-        for end in range(1, len(b) + n):
-            top = max(top, indel(a, b[max(0, end - n):end]))
-        return top
-
-    return max(best(a, b), best(b, a)) if len(a) == len(b) else best(a, b)
+#: Pairs that go through numpy together, and cells of their table of letters.
+_TOGETHER, _CELLS = 4096, 1 << 21
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one after the other, and where each begins."""
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes
+
+
+def _short_lcs(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs`` of many pairs; every ``a`` has 1 to 64 characters, and the ``b`` are in order of length, the longest first."""
+    n = len(a)
+    (x, x0), (y, y0) = _codes(a), _codes(b)
+    letters, code = np.unique(x, return_inverse=True)
+    size = np.fromiter((len(t) for t in a), np.int64, n)
+    row = np.repeat(np.arange(n), size)
+    masks = np.zeros((n, len(letters) + 1), np.uint64)  # the last column is for letters that no ``a`` has
+    np.bitwise_or.at(masks, (row, code), np.uint64(1) << (np.arange(len(x)) - x0[row]).astype(np.uint64))
+    at = np.minimum(np.searchsorted(letters, y), len(letters) - 1)
+    other = np.where(letters[at] == y, at, len(letters))
+    state = np.full(n, ~np.uint64(0))
+    longest = np.fromiter((len(t) for t in b), np.int64, n)
+    reach = np.searchsorted(-longest, -np.arange(1, longest[0] + 1), side="right")  # pairs that have a j-th character
+    for j, k in enumerate(reach.tolist()):
+        v = state[:k]
+        hit = v & masks[np.arange(k), other[y0[:k] + j]]
+        state[:k] = (v + hit) | (v - hit)
+    return 64 - np.bitwise_count(state).astype(np.int64)
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs`` of a[i] and b[i] for all i; pairs that occur again are computed once."""
+    pairs = list(zip(a, b))
+    known: dict[tuple[str, str], int] = {}
+    short = []
+    for p in dict.fromkeys(pairs):
+        x, y = p if len(p[0]) <= len(p[1]) else p[::-1]
+        if x == y or not x:
+            known[p] = len(x)
+        elif len(x) <= 64:
+            short.append((x, y, p))
+        else:
+            known[p] = lcs(x, y)
+    short.sort(key=lambda s: -len(s[1]))
+    at = 0
+    while at < len(short):
+        part = short[at:at + _TOGETHER]
+        letters = len(set().union(*(s[0] for s in part))) + 1
+        part = part[:max(1, min(_TOGETHER, _CELLS // letters))]
+        found = _short_lcs([s[0] for s in part], [s[1] for s in part])
+        known.update((s[2], n) for s, n in zip(part, found.tolist()))
+        at += len(part)
+    return np.fromiter((known[p] for p in pairs), np.int64, len(pairs))
+
+
+def _windows(a: str, b: str) -> list[str]:
+    """Windows of ``b`` as long as ``a``, and shorter ones at its ends."""
+    n = len(a)
+    return [b[max(0, end - n):end] for end in range(1, len(b) + n)]
+
+
+def best_windows(a: list[str], b: list[str]) -> list[float]:
+    """Best indel similarity of the shorter string and any window of the longer that is as long, or shorter at its ends; both ways if they are as long as each other."""
+    memo: dict[tuple[str, str], float] = {}
+    todo: list[tuple[tuple[str, str], str, list[str]]] = []
+    held = 0
+
+    def flush() -> None:
+        left = [s for _, s, w in todo for _ in w]
+        right = [x for *_, w in todo for x in w]
+        found = lcs_lengths(left, right).tolist()
+        at = 0
+        for p, s, w in todo:
+            best = max(200.0 * n / (len(s) + len(x)) for n, x in zip(found[at:at + len(w)], w))
+            memo[p] = max(memo.get(p, 0.0), best)
+            at += len(w)
+        todo.clear()
+
+    for p in dict.fromkeys(zip(a, b)):
+        x, y = p if len(p[0]) <= len(p[1]) else p[::-1]
+        if not x or x in y:
+            memo[p] = 100.0 if x or not y else 0.0
+            continue
+        for s, t in ((x, y), (y, x)) if len(x) == len(y) else ((x, y),):
+            todo.append((p, s, _windows(s, t)))
+            held += (len(t) + len(s)) * len(s)
+        if held > 1 << 22:
+            flush()
+            held = 0
+    if todo:
+        flush()
+    return [memo[p] for p in zip(a, b)]
 
 
 def _pairwise(kernel, kind: str):
+    """An Arrow function over two columns from a kernel over two lists."""
+
     def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a, b):
-            if pair not in memo:
-                memo[pair] = kernel(*pair)
-            out.append(memo[pair])
-        return pd.Series(out, dtype="int64" if kind == "long" else "float64")
+        return pd.Series(kernel(a.tolist(), b.tolist()), dtype="int64" if kind == "long" else "float64")
 
     over.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(over, kind)
@@ -73,7 +146,7 @@ def _text(x: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    return _pairwise(lcs, "long")(_text(a), _text(b))
+    return _pairwise(lcs_lengths, "long")(_text(a), _text(b))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -91,39 +164,40 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(sorted_words(a), sorted_words(b))
 
 
-def _set_parts(a: Column, b: Column) -> Column:
-    """Sizes of the two word sets, shared words and both rests (sorted, joined), as a struct; each set is made once."""
-    joined = lambda x: F.array_join(F.array_sort(x), " ")
-    sets = F.struct(F.array_distinct(words(a)).alias("a"), F.array_distinct(words(b)).alias("b"))
-    parts = lambda s: F.struct(
-        F.size(s["a"]).alias("na"), F.size(s["b"]).alias("nb"), joined(F.array_intersect(s["a"], s["b"])).alias("both"),
-        joined(F.array_except(s["a"], s["b"])).alias("left"), joined(F.array_except(s["b"], s["a"])).alias("right"))
-    return F.transform(F.array(sets), parts)[0]
-
+_WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-def _set_ratio(parts: Column) -> Column:
-    n, x, y = F.length(parts["both"]), F.length(parts["left"]), F.length(parts["right"])
-    head = F.when(n > 0, n + 1).otherwise(0)
-    main = 200.0 * (head + lcs_length(parts["left"], parts["right"])) / (2 * head + x + y)
-    beside = lambda m: 200.0 * n / (2 * n + 1 + m)
-    return (F.when((parts["na"] == 0) | (parts["nb"] == 0), 0.0).when((n > 0) & ((x == 0) | (y == 0)), 100.0)
-            .when(n > 0, F.greatest(main, beside(x), beside(y))).otherwise(main))
 
-
-def token_set_ratio(a: Column, b: Column) -> Column:
+def token_sets(a: list[str], b: list[str]) -> list[float]:
     """Words as sets: 100 if one holds the other, 0 if one is empty, else the best of three ratios.
 
     All three strings begin with the shared words, so one subsequence (of the two rests) decides them all.
-    For many pairs take ``with_token_set``, which keeps the sets in a column.
     """
-    return _set_ratio(_set_parts(a, b))
+    sets = {x: frozenset(_WORDS.findall(x)) for x in {*a, *b}}
+    parts = []
+    for x, y in zip(a, b):
+        x, y = sets[x], sets[y]
+        parts.append((not x or not y, len(" ".join(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))))
+    common = lcs_lengths([p[2] for p in parts], [p[3] for p in parts]).tolist()
+    out = []
+    for (none, n, left, right), k in zip(parts, common):
+        head, x, y = n + 1 if n else 0, len(left), len(right)
+        if none or (n and not (x and y)):
+            out.append(0.0 if none else 100.0)
+        else:
+            main = 200.0 * (head + k) / (2 * head + x + y)
+            out.append(max(main, 200.0 * n / (2 * n + 1 + x), 200.0 * n / (2 * n + 1 + y)) if n else main)
+    return out
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """``token_sets`` of two columns."""
+    return _pairwise(token_sets, "double")(_text(a), _text(b))
 
 
 def with_token_set(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """``pairs`` with the token set ratio of two columns; the sets are a column of their own in between, so they are made once for each pair."""
-    parts = f"{name}__parts"
-    return pairs.withColumn(parts, _set_parts(F.col(a), F.col(b))).withColumn(name, _set_ratio(F.col(parts))).drop(parts)
+    """``pairs`` with the token set ratio of two columns."""
+    return pairs.withColumn(name, token_set_ratio(F.col(a), F.col(b)))
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(best_window, "double")(_text(a), _text(b))
+    return _pairwise(best_windows, "double")(_text(a), _text(b))

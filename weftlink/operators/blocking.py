@@ -10,8 +10,11 @@ secondary sources.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,6 +33,7 @@ class BlockingParams:
     min_score: float = 35.0
     strong_address: float = 85.0
     guard: float = 92.0  #: name similarity that outweighs different postal codes
+    dense: int = 8  #: tokens that two records share on average from which on they are counted in blocks
     squash_gap: int = 5  #: squashed names are compared if their lengths differ by no more
 
 
@@ -69,7 +73,30 @@ def spread(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id")
 
 
+def shared_tokens(records: DataFrame, targets: DataFrame, p: BlockingParams) -> tuple[int, int]:
+    """Rows that ``overlap_join`` makes before it counts them, and pairs of records and targets of one country."""
+    frequent = frequent_tokens(targets, p)
+    count = lambda df, name: pruned_postings(df, frequent).groupBy("country", "token").agg(F.count(F.lit(1)).alias(name))
+    rows = count(records, "a").join(count(targets, "b"), ["country", "token"]).agg(F.sum(F.col("a") * F.col("b"))).head()[0]
+    size = lambda df, name: df.groupBy("country").agg(F.count(F.lit(1)).alias(name))
+    pairs = size(records, "a").join(size(targets, "b"), "country").agg(F.sum(F.col("a") * F.col("b"))).head()[0]
+    return rows or 0, pairs or 0
+
+
 def overlap_topk(records: DataFrame, targets: DataFrame, p: BlockingParams) -> DataFrame:
+    """(s1_id, t_id, overlap, rank): the targets that share most tokens with each record.
+
+    Records of a few words share few tokens with few targets, which the posting join finds. Where nearly every pair shares many, as
+    whole texts do, counting them in blocks is less work; both give the same rows.
+    """
+    rows, pairs = shared_tokens(records, targets, p)
+    if rows > p.dense * pairs:
+        frequent = frequent_tokens(targets, p)
+        both = pruned_postings(records.select("entity_id", "country", "name", "address").unionByName(targets.select("entity_id", "country", "name", "address")), frequent)
+        lists = both.groupBy("entity_id", "country").agg(F.collect_list(F.xxhash64("token")).alias("ids"))
+        vectors = _packed(lists.withColumn("w", F.transform("ids", lambda x: F.lit(1.0))), unit=False)
+        found = cosine_topk(vectors, targets, p.pool, 1.0, by_source=False)
+        return found.select("s1_id", "t_id", F.col("sim").cast("long").alias("overlap"), "rank")
     best = W.partitionBy("s1_id").orderBy(F.desc("overlap"), "t_id")
     return spread(overlap_join(records, targets, p)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.pool)
 
@@ -146,10 +173,14 @@ def dual_channel(pairs: DataFrame, p: BlockingParams) -> DataFrame:
 
 
 def top_candidates(scored: DataFrame, p: BlockingParams) -> DataFrame:
-    """Best pairs of each record and source. The score filter commutes with the ranking, so it goes below."""
-    good = scored.where((F.col("score") >= p.min_score) | (F.col("addr_score") >= p.strong_address)).withColumn("source", N.source_of("t_id"))
+    """Best pairs of each record and source.
+
+    A strong address score is a score as good, so what the filter drops ranks behind all that it keeps; it stands above the ranking,
+    since below it Spark would run the similarity functions once more for it.
+    """
     best = W.partitionBy("s1_id", "source").orderBy(F.desc("score"), "t_id")
-    return good.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.per_source)
+    ranked = scored.withColumn("source", N.source_of("t_id")).withColumn("rank", F.row_number().over(best))
+    return ranked.where((F.col("rank") <= p.per_source) & ((F.col("score") >= p.min_score) | (F.col("addr_score") >= p.strong_address)))
 
 
 def candidate_pairs(records: DataFrame, targets: DataFrame, p: BlockingParams = BlockingParams()) -> DataFrame:
@@ -165,53 +196,122 @@ def id_lists(records: DataFrame, pairs: DataFrame, order: list[Column], name: st
     return every.join(lists, "s1_id", "left").select("s1_id", F.coalesce(F.array_join(F.col("found.t_id"), ","), F.lit("")).alias(name))
 
 
-def gram_weights(records: DataFrame, least: int, most: int, min_df: int = 1, weight: str = "count") -> DataFrame:
-    """(entity_id, country, gram, w): unit-length vectors of n-grams of name and address.
+def gram_counts(records: DataFrame, least: int, most: int) -> DataFrame:
+    """(entity_id, country, ids, tf): the distinct n-grams of name and address, each as 64 bits of its hash, and how often they occur. No shuffle."""
+    hashed = records.select("entity_id", "country", F.transform(word_ngrams(F.concat_ws(" ", "name", "address"), least, most), lambda g: F.xxhash64(g)).alias("grams"))
 
-    ``weight`` "count" takes plain counts; "tfidf" takes (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), grams in fewer than ``min_df`` records dropped.
-    """
-    grams = records.select("entity_id", "country", F.explode(word_ngrams(F.concat_ws(" ", "name", "address"), least, most)).alias("gram"))
-    tf = grams.groupBy("country", "entity_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    if weight == "tfidf":
-        df = tf.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-        n = records.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-        raw = tf.join(df, ["country", "gram"]).join(n, "country").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    else:
-        raw = tf.withColumn("w", F.col("tf").cast("double"))
-    norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def cosine_topk(grams: DataFrame, targets: DataFrame, k: int, min_sim: float, by_source: bool = True) -> DataFrame:
-    """(s1_id, t_id, sim, rank): most similar targets by n-gram vectors, from each source or from all."""
-    left = grams.where(F.col("entity_id").startswith("S1-")).select("country", "gram", F.col("entity_id").alias("s1_id"), F.col("w").alias("a"))
-    right = grams.join(targets.select("entity_id"), "entity_id", "left_semi").select("country", "gram", F.col("entity_id").alias("t_id"), F.col("w").alias("b"))
-    sims = left.join(right, ["country", "gram"]).groupBy("s1_id", "t_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("sim")).where(F.col("sim") >= min_sim)
-    sims = sims.withColumn("source", N.source_of("t_id"))
-    best = W.partitionBy("s1_id", *(["source"] if by_source else [])).orderBy(F.desc("sim"), "t_id")
-    return sims.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("source")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counted = [np.unique(np.asarray(g, np.int64), return_counts=True) for g in pdf["grams"]]
+            yield pdf[["entity_id", "country"]].assign(ids=[i for i, _ in counted], tf=[n for _, n in counted])
 
+    return hashed.mapInPandas(count, "entity_id string, country string, ids array<long>, tf array<long>")
 
-def minhash_candidates(records: DataFrame, targets: DataFrame, max_distance: float = 0.8, tables: int = 8, seed: int = 5) -> DataFrame:
-    """(s1_id, t_id): an approximate form of cosine blocking that scales further, by MinHash over n-gram sets."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << 16, binary=True)
+def _packed(rows: DataFrame, unit: bool = True) -> DataFrame:
+    """(entity_id, country, ids, w) with both lists as bytes; ``unit`` scales weights to length 1."""
 
-    def vectors(df: DataFrame) -> DataFrame:
-        grams = df.select("entity_id", "country", word_ngrams(F.concat_ws(" ", "name", "address"), 3, 4).alias("grams")).where(F.size("grams") > 0)
-        return tf.transform(grams)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            weights = [np.asarray(w, np.float64) for w in pdf["w"]]
+            yield pdf[["entity_id", "country"]].assign(ids=[np.asarray(i, np.int64).tobytes() for i in pdf["ids"]], w=[(w / np.sqrt((w * w).sum()) if unit else w).tobytes() for w in weights])
 
-    left, right = vectors(records), vectors(targets)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed).fit(left)
-    near = model.approxSimilarityJoin(left, right, max_distance, "distance")
-    return near.where("datasetA.country = datasetB.country").select(F.col("datasetA.entity_id").alias("s1_id"), F.col("datasetB.entity_id").alias("t_id"), "distance")
+    return rows.mapInPandas(pack, "entity_id string, country string, ids binary, w binary")
 
 
-def hashed_ngrams(records: DataFrame, least: int = 3, most: int = 4, size: int = 1 << 16) -> DataFrame:
-    """entity_id and a unit vector of hashed n-gram counts, for learners that want vectors."""
-    from pyspark.ml.feature import HashingTF, Normalizer
+def count_vectors(records: DataFrame, least: int, most: int) -> DataFrame:
+    """Unit vectors of n-gram counts. No shuffle."""
+    return _packed(gram_counts(records, least, most).withColumnRenamed("tf", "w"))
+
+
+def tfidf_vectors(records: DataFrame, least: int, most: int, min_df: int = 1) -> DataFrame:
+    """Unit vectors of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), n-grams in fewer than ``min_df`` records of a country dropped.
+
+    Two shuffles of numbers: by n-gram, whose frequencies are counted map-side first, and by record.
+    """
+    rows = gram_counts(records, least, most).select("entity_id", "country", F.explode(F.arrays_zip("ids", "tf")).alias("g")).select("entity_id", "country", "g.ids", "g.tf")
+    df = rows.groupBy("country", "ids").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    n = records.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    weight = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    raw = rows.join(df, ["country", "ids"]).join(n, "country").select("entity_id", "country", "ids", weight.alias("w"))
+    lists = raw.groupBy("entity_id", "country").agg(F.collect_list(F.struct("ids", "w")).alias("v"))
+    return _packed(lists.select("entity_id", "country", F.col("v.ids").alias("ids"), F.col("v.w").alias("w")))
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, row, weight) of the ids that are in ``places`` (sorted), in order of their columns."""
+    ids = np.concatenate([i for i, _ in rows])
+    row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    at = np.minimum(np.searchsorted(places, ids), len(places) - 1)
+    known = np.flatnonzero(places[at] == ids)
+    known = known[np.argsort(at[known], kind="stable")]
+    return at[known], row[known], np.concatenate([w for _, w in rows])[known]
+
+
+def _similar(k: int, min_sim: float, by_source: bool, slab: int = 4096):
+    """Best targets of a block of records in a block of targets, from products of slabs of columns."""
+
+    def read(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.frombuffer(i, np.int64), np.frombuffer(w, np.float64)) for i, w in zip(pdf["ids"], pdf["w"])]
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"s1_id": pd.Series(dtype=str), "t_id": pd.Series(dtype=str), "sim": pd.Series(dtype="float64")})
+        if not len(left) or not len(right):
+            return empty
+        right = right.sort_values("entity_id", kind="stable")
+        a, b = read(left), read(right)
+        places = np.intersect1d(np.concatenate([i for i, _ in a]), np.concatenate([i for i, _ in b]))
+        sims = np.zeros((len(a), len(b)))
+        if len(places):
+            (ac, ar, aw), (bc, br, bw) = _dense(a, places), _dense(b, places)
+            for at in range(0, len(places), slab):
+                x, y = np.zeros((len(a), slab)), np.zeros((len(b), slab))
+                own, other = slice(*np.searchsorted(ac, (at, at + slab))), slice(*np.searchsorted(bc, (at, at + slab)))
+                x[ar[own], ac[own] - at], y[br[other], bc[other] - at] = aw[own], bw[other]
+                sims += x @ y.T
+        sims = np.round(sims, 9)
+        names = right["entity_id"].to_numpy(object)
+        source = np.asarray([n[:3] for n in names]) if by_source else np.zeros(len(names))
+        out = []
+        for s in np.unique(source):
+            own = np.flatnonzero(source == s)
+            top = own[np.argsort(-sims[:, own], axis=1, kind="stable")[:, :k]]
+            out.append(pd.DataFrame({"s1_id": np.repeat(left["entity_id"].to_numpy(object), top.shape[1]), "t_id": names[top.ravel()], "sim": np.take_along_axis(sims, top, 1).ravel()}))
+        found = pd.concat(out)
+        return found[(found["sim"] >= min_sim) & (found["sim"] > 0)]
+
+    return best
+
+
+def cosine_topk(vectors: DataFrame, targets: DataFrame, k: int, min_sim: float, by_source: bool = True, block: int = 512) -> DataFrame:
+    """(s1_id, t_id, sim, rank): most similar targets by n-gram vectors, from each source or from all.
+
+    Exact: blocks of records meet blocks of targets of their country, a task multiplies one pair of blocks and returns the best
+    ``k`` of each record only. Work is the product of the two sides, as similarities of this kind have no useful bound;
+    ``overlap_topk`` is the way to block where that is too much.
+    """
+    left = vectors.where(F.col("entity_id").startswith("S1-"))
+    right = vectors.join(targets.select("entity_id"), "entity_id", "left_semi")
+    blocks = lambda df, n: df.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = blocks(left, "rows").join(blocks(right, "columns"), "country")
+
+    def dealt(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        rows = df.join(sizes, "country")
+        return rows.select(*[F.col(c).alias(c) for c in df.columns], F.pmod(F.xxhash64("entity_id"), F.col(own)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+
+    a, b = dealt(left, "rows", "columns", "i", "j"), dealt(right, "columns", "rows", "j", "i")
+    key = ["country", "i", "j"]
+    sims = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(_similar(k, min_sim, by_source), "s1_id string, t_id string, sim double").withColumn("source", N.source_of("t_id"))
+    best = W.partitionBy("s1_id", *(["source"] if by_source else [])).orderBy(F.desc("sim"), "t_id")
+    return sims.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("source")
 
-    grams = records.select("entity_id", word_ngrams(F.concat_ws(" ", "name", "address"), least, most).alias("grams"))
-    counted = HashingTF(inputCol="grams", outputCol="counts", numFeatures=size).transform(grams)
-    return Normalizer(p=2.0, inputCol="counts", outputCol="vector").transform(counted).select("entity_id", "vector")
+
+def hashed_ngrams(records: DataFrame, least: int = 3, most: int = 4, size: int = 1 << 16) -> DataFrame:
+    """(entity_id, place, value): unit vectors of signed n-gram counts in ``size`` places; place and sign follow from the n-gram's MD5, so any engine gives the same."""
+    grams = records.select("entity_id", F.explode(word_ngrams(F.concat_ws(" ", "name", "address"), least, most)).alias("gram"))
+    counted = grams.groupBy("entity_id", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("digest", F.md5(F.col("gram").cast("binary")))
+    number = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("long")
+    signed = counted.select("entity_id", (number(1) % size).alias("place"), F.when(number(9) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("n"))
+    summed = signed.groupBy("entity_id", "place").agg(F.sum("n").alias("n")).where("n <> 0")
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("entity_id")).cast("double"))
+    return summed.select("entity_id", "place", (F.col("n") / norm).alias("value"))

@@ -1,8 +1,8 @@
 """The business registry that the queries run on, as a view of the documents table.
 
 Each document is a record of one of three sources: the number of its source follows from its id, its country is
-its language, the first five words are the business name, the next nine with two numbers the address. S1 is
-the reference source, S2 and S3 hold the targets. Documents of equal text are true matches.
+its language, the first five words are the business name, all other words of the text, with a number before and a postal code behind
+them, the address. S1 is the reference source, S2 and S3 hold the targets. Documents of equal text are true matches.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from weftlink.functions import normalize as N
 
-NAME_WORDS, ADDRESS_WORDS = 5, 9
+NAME_WORDS = 5
+#: Bytes for each core below which a table is dealt out.
+SMALL = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,19 +26,25 @@ def entity_id() -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """entity_id, country, business_name, business_address. Splitting stops behind the words that a record needs."""
-    n = NAME_WORDS + ADDRESS_WORDS
-    first = F.slice(F.split(F.lower(F.coalesce("text", F.lit(""))), N.SEPARATORS, n + 2), 1, n + 1)
-    w = F.filter(first, lambda x: x != "")
-    rows = docs.where("doc_id IS NOT NULL").select(entity_id().alias("entity_id"), F.col("lang").alias("country"), "n_chars", w.alias("w"))
+    """entity_id, country, business_name, business_address."""
+    rows = docs.where("doc_id IS NOT NULL").select(entity_id().alias("entity_id"), F.col("lang").alias("country"), "n_chars", N.pieces(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
+    rest = F.slice("w", F.lit(NAME_WORDS + 1), F.greatest(F.size("w") - NAME_WORDS, F.lit(0)))
     return rows.select(
         "entity_id", "country", F.array_join(F.slice("w", 1, NAME_WORDS), " ").alias("business_name"),
-        F.concat_ws(" ", (F.col("n_chars") % 100).cast("string"), F.array_join(F.slice("w", NAME_WORDS + 1, ADDRESS_WORDS), " "), (10000 + F.col("n_chars") % 50).cast("string")).alias("business_address"))
+        F.concat_ws(" ", (F.col("n_chars") % 100).cast("string"), F.array_join(rest, " "), (10000 + F.col("n_chars") % 50).cast("string")).alias("business_address"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records with normalised name and address."""
-    return entities(documents(spark, sf_dir)).select("entity_id", "country", N.normalize_name("business_name").alias("name"), N.normalize_address("business_address").alias("address"))
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table that stands in few files dealt out over all cores, since work on whole texts is dear; a large one stays as it is read."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(4 * cores) if size < cores * SMALL else docs
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Entities with normalised name and address."""
+    return rows.select("entity_id", "country", N.normalize_name("business_name").alias("name"), N.normalize_address("business_address").alias("address"))
 
 
 def reference(rows: DataFrame) -> DataFrame:

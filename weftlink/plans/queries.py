@@ -13,11 +13,10 @@ from weftlink.functions import similarity as K
 from weftlink.operators import assignment, blocking, evaluation, features, search, training, validation
 from weftlink.plans import entities as E
 
-#: Limits that bind at the scale of the test tables; production defaults are those of the operators.
-PARAMS = blocking.BlockingParams(max_df=40, pool=20, per_source=3)
+#: The operators' own production values; tests give smaller limits, which bind on small tables.
+PARAMS = blocking.BlockingParams()
 THRESHOLD = 0.80
-#: Trees of the queries' matcher; few are enough for tables of this size.
-MATCHER = training.MatcherParams(iterations=20)
+MATCHER = training.MatcherParams()
 
 
 class View:
@@ -28,10 +27,10 @@ class View:
     A lost part of that copy is computed again from the table.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.raw = E.entities(E.documents(spark, sf_dir))
-        self.rows = E.records(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, params: blocking.BlockingParams = PARAMS):
+        self.spark, self.sf_dir, self.params = spark, sf_dir, params
+        self.raw = E.entities(E.spread(E.documents(spark, sf_dir)))
+        self.rows = E.records(self.raw)
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -50,16 +49,16 @@ class View:
         return E.truth(self.spark, self.sf_dir)
 
     def topk(self) -> DataFrame:
-        return blocking.overlap_topk(self.s1, self.t, PARAMS)
+        return blocking.overlap_topk(self.s1, self.t, self.params)
 
     def pool(self) -> DataFrame:
-        return blocking.with_records(blocking.candidate_pool(self.s1, self.t, PARAMS), self.s1, self.t)
+        return blocking.with_records(blocking.candidate_pool(self.s1, self.t, self.params), self.s1, self.t)
 
     def scored(self) -> DataFrame:
-        return blocking.dual_channel(blocking.postal_guard(self.pool(), PARAMS), PARAMS)
+        return blocking.dual_channel(blocking.postal_guard(self.pool(), self.params), self.params)
 
     def candidates(self) -> DataFrame:
-        return blocking.candidate_pairs(self.s1, self.t, PARAMS)
+        return blocking.candidate_pairs(self.s1, self.t, self.params)
 
     def judged(self) -> DataFrame:
         """Candidates with a probability: the fixed score, from 0 to 1."""
@@ -104,8 +103,8 @@ def _squash(strong: bool):
 
 def _cosine(weight: str, least: int, most: int, min_df: int, k: int, min_sim: float, by_source: bool):
     def query(v: View) -> DataFrame:
-        grams = blocking.gram_weights(v.kept, least, most, min_df, weight)
-        return blocking.cosine_topk(grams, v.t, k, min_sim, by_source).select("s1_id", "t_id", "sim", "rank")
+        vectors = blocking.count_vectors(v.kept, least, most) if weight == "count" else blocking.tfidf_vectors(v.kept, least, most, min_df)
+        return blocking.cosine_topk(vectors, v.t, k, min_sim, by_source).select("s1_id", "t_id", "sim", "rank")
 
     return query
 
@@ -134,7 +133,7 @@ def _search(v: View) -> DataFrame:
 
 
 def _hydrated(v: View) -> DataFrame:
-    pairs = v.topk().select("s1_id", F.when(F.col("rank") == 20, F.concat("t_id", F.lit("x"))).otherwise(F.col("t_id")).alias("t_id"))
+    pairs = v.topk().select("s1_id", F.when(F.col("rank") == PARAMS.pool, F.concat("t_id", F.lit("x"))).otherwise(F.col("t_id")).alias("t_id"))
     return search.hydrated(pairs, v.t)
 
 
@@ -157,6 +156,14 @@ def _gbt(v: View) -> DataFrame:
     return assignment.decide(blocking.with_records(scored, v.s1, v.t), matcher.threshold).select("s1_id", "t_id", F.round("p", 4).alias("p"))
 
 
+def _hashed(v: View) -> DataFrame:
+    """Each vector in short: places, those with a positive value, the sum of all absolute values, and a sum that depends on every place."""
+    value = F.col("value")
+    by = blocking.hashed_ngrams(v.rows).groupBy("entity_id").agg(F.count(F.lit(1)).alias("places"), F.sum(F.when(value > 0, 1).otherwise(0)).alias("positive"),
+                                                                 F.round(F.sum(F.abs(value)), 6).alias("total"), F.sum(F.col("place") * F.signum("value").cast("long")).alias("placed"))
+    return by
+
+
 def _partitions(v: View) -> DataFrame:
     rows = v.rows.select(F.lit("test").alias("split"), N.source_of("entity_id").alias("source"), "country", "entity_id")
     return rows.groupBy("split", "source", "country").agg(F.count(F.lit(1)).alias("records"))
@@ -188,8 +195,7 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "partial_ratio": _pair_kernel(K.partial_ratio, "ratio"),
     "ngram_cosine_topk": _cosine("count", 3, 4, 1, 15, 0.08, True),
     "tfidf_cosine_topk": _cosine("tfidf", 3, 5, 3, 25, 0.0, False),
-    "hashed_ngrams": lambda v: blocking.hashed_ngrams(v.rows),
-    "minhash_candidates": lambda v: blocking.minhash_candidates(v.s1, v.t),
+    "hashed_ngrams": _hashed,
     "pair_features": lambda v: features.pair_features(v.candidates().select("s1_id", "t_id"), v.s1, v.t).select("s1_id", "t_id", *_r(*features.FEATURES)),
     "positive_pairs": lambda v: training.positive_pairs(v.truth, v.t),
     "target_sample": lambda v: training.target_sample(v.t, v.truth, 1, 4),

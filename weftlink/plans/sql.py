@@ -76,6 +76,34 @@ def _lcs(x: str, y: str) -> str:
     return f"(CASE WHEN length({s}) = 0 THEN 0 ELSE length({s}) - bit_count(list_reduce({masks}, lambda v, m: {step}, {full})) END)"
 
 
+_BITS = 120
+_FULL = f"((CAST(1 AS HUGEINT) << {_BITS}) - 1)"
+
+
+def _long_lcs(src: str, name: str, columns: dict[str, tuple[str, str]]) -> dict[str, str]:
+    """Table ``name``: ``src`` with the length of the longest common subsequence of pairs of columns of any length, {new column: (a, b)}.
+
+    The shorter text is cut into blocks of 120 characters, each the bits of an integer; a step for a character of the longer
+    one goes through the blocks and carries from one to the next. What is left unset at the end is the length.
+    """
+    out, made = {}, []
+    for k, (x, y) in columns.items():
+        pairs, letters, state = f"{name}_{k}_p", f"{name}_{k}_m", f"{name}_{k}"
+        out[pairs] = f"""SELECT DISTINCT {x} AS a, {y} AS b, CASE WHEN length({x}) <= length({y}) THEN string_split({x}, '') ELSE string_split({y}, '') END AS s,
+          CASE WHEN length({x}) <= length({y}) THEN string_split({y}, '') ELSE string_split({x}, '') END AS t FROM {src} WHERE length({x}) > 0 AND length({y}) > 0"""
+        block = f"list_sum(list_transform(range(1, 1 + least({_BITS}, len(s) - {_BITS} * k)), lambda i: CASE WHEN s[{_BITS} * k + i] = c THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END))"
+        out[letters] = f"""SELECT a, b, s, t, CAST((len(s) + {_BITS - 1}) // {_BITS} AS INTEGER) AS n,
+          map_from_entries(list_transform(list_distinct(t), lambda c: struct_pack(k := c, v := list_transform(range((len(s) + {_BITS - 1}) // {_BITS}), lambda k: CAST({block} AS HUGEINT))))) AS masks FROM {pairs}"""
+        sum_ = "(v[j] + (v[j] & masks[c][j]) + acc.carry)"
+        inner = f"""list_reduce(range(1, n + 1), lambda acc, j: struct_pack(carry := CAST({sum_} >> {_BITS} AS HUGEINT), l := list_append(acc.l, CAST(({sum_} & {_FULL}) | (v[j] - (v[j] & masks[c][j])) AS HUGEINT))),
+          struct_pack(carry := CAST(0 AS HUGEINT), l := CAST([] AS HUGEINT[]))).l"""
+        out[state] = f"""SELECT a, b, CAST({_BITS} * n - list_sum(list_transform(list_reduce(t, lambda v, c: {inner}, list_transform(range(n), lambda k: {_FULL})), lambda z: bit_count(z))) AS BIGINT) AS len FROM {letters}"""
+        made.append((k, state, x, y))
+    joins = " ".join(f"LEFT JOIN {t} q_{k} ON q_{k}.a = r.{x} AND q_{k}.b = r.{y}" for k, t, x, y in made)
+    out[name] = f"SELECT r.*, {', '.join(f'coalesce(q_{k}.len, 0) AS {k}' for k, *_ in made)} FROM {src} r {joins}"
+    return out
+
+
 def _ratio(x: str, y: str) -> str:
     return f"(CASE WHEN length({x}) + length({y}) = 0 THEN 100.0 ELSE CAST(200.0 AS DOUBLE) * {_lcs(x, y)} / (length({x}) + length({y})) END)"
 
@@ -87,7 +115,7 @@ def _sorted(words: str) -> str:
 CTES: dict[str, str] = {
     "doc": "SELECT *, 'S' || CAST(1 + doc_id % 3 AS VARCHAR) || '-' || CAST(doc_id AS VARCHAR) AS entity_id FROM documents WHERE doc_id IS NOT NULL",
     "ent": f"""SELECT entity_id, lang AS country, array_to_string(w[1:5], ' ') AS business_name,
-      concat_ws(' ', CAST(n_chars % 100 AS VARCHAR), array_to_string(w[6:14], ' '), CAST(10000 + n_chars % 50 AS VARCHAR)) AS business_address
+      concat_ws(' ', CAST(n_chars % 100 AS VARCHAR), array_to_string(w[6:], ' '), CAST(10000 + n_chars % 50 AS VARCHAR)) AS business_address
       FROM (SELECT entity_id, lang, n_chars, {_pieces("lower(coalesce(text, ''))")} AS w FROM doc)""",
     "rec": f"SELECT entity_id, country, {_name('business_name')} AS name, {_address('business_address')} AS address FROM ent",
     "s1": "SELECT * FROM rec WHERE entity_id LIKE 'S1-%'",
@@ -118,10 +146,11 @@ def _pair_table(pairs: str) -> str:
       FROM {pairs} p JOIN prep a ON a.entity_id = p.s1_id JOIN prep b ON b.entity_id = p.t_id"""
 
 
-def _token_set(k: str, x: str, y: str) -> str:
+def _token_set(k: str, x: str, y: str, common: str = "") -> str:
+    """``common`` is a column that has the subsequence of both rests already."""
     b, left, right = f"{k}_both", f"{k}_left", f"{k}_right"
     head = f"(CASE WHEN length({b}) > 0 THEN length({b}) + 1 ELSE 0 END)"
-    main = f"CAST(200.0 AS DOUBLE) * ({head} + {_lcs(left, right)}) / (2 * {head} + length({left}) + length({right}))"
+    main = f"CAST(200.0 AS DOUBLE) * ({head} + {common or _lcs(left, right)}) / (2 * {head} + length({left}) + length({right}))"
     beside = lambda r: f"CAST(200.0 AS DOUBLE) * length({b}) / (2 * length({b}) + 1 + length({r}))"
     return f"""(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 WHEN length({b}) > 0 AND (length({left}) = 0 OR length({right}) = 0) THEN 100.0
       WHEN length({b}) > 0 THEN greatest({main}, {beside(left)}, {beside(right)}) ELSE {main} END)"""
@@ -135,15 +164,16 @@ CTES |= {
     "namesets": f"SELECT *, {_token_set('n', 'ans', 'bns')} AS name_set FROM pairtab",
     "guarded": f"SELECT * FROM namesets WHERE NOT coalesce({_GUARD}, false)",
     "near": f"SELECT *, asq <> '' AND bsq <> '' AND abs(length(asq) - length(bsq)) <= {PARAMS.squash_gap} AS is_near FROM guarded",
+    **_long_lcs("near", "near_a", {"a_len": ("a_left", "a_right")}),
     "scored0": f"""SELECT *, CASE WHEN is_near THEN {_ratio('asq', 'bsq')} ELSE 0.0 END AS sq_score,
-      CASE WHEN aa <> '' AND ba <> '' THEN least(100.0, {_token_set('a', 'aaw', 'baw')} + CASE WHEN anum = bnum THEN 10.0 ELSE 0.0 END) ELSE 0.0 END AS addr_score FROM near""",
+      CASE WHEN aa <> '' AND ba <> '' THEN least(100.0, {_token_set('a', 'aaw', 'baw', 'a_len')} + CASE WHEN anum = bnum THEN 10.0 ELSE 0.0 END) ELSE 0.0 END AS addr_score FROM near_a""",
     "scored1": "SELECT *, greatest(name_set, sq_score) AS name_score FROM scored0",
     "scored": f"SELECT *, CASE WHEN aa <> '' AND ba <> '' THEN {_MIXED} ELSE name_score * 0.85 END AS score FROM scored1",
     "cand": f"""SELECT * FROM (SELECT *, {_source('t_id')} AS source, CAST(row_number() OVER (PARTITION BY s1_id, {_source('t_id')} ORDER BY score DESC, t_id) AS INTEGER) AS rank
       FROM scored WHERE score >= {PARAMS.min_score} OR addr_score >= {PARAMS.strong_address}) WHERE rank <= {PARAMS.per_source}""",
     "judged": "SELECT *, round(score / 100.0, 6) AS p FROM cand",
     "matched": f"SELECT * FROM judged WHERE CASE WHEN ba = '' AND aa <> '' THEN p >= 0.90 AND name_set >= 85 ELSE p >= {THRESHOLD} END",
-    "combined": f"SELECT *, round(CASE WHEN aa <> '' AND ba <> '' THEN name_set * 0.70 + {_token_set('a', 'aaw', 'baw')} * 0.30 ELSE name_set * 0.85 END, 6) AS together FROM matched",
+    "combined": f"SELECT *, round(CASE WHEN aa <> '' AND ba <> '' THEN name_set * 0.70 + {_token_set('a', 'aaw', 'baw', 'a_len')} * 0.30 ELSE name_set * 0.85 END, 6) AS together FROM matched",
     "excl": "SELECT s1_id, t_id, score, together, CAST(row_number() OVER (PARTITION BY t_id ORDER BY together DESC, s1_id) AS INTEGER) AS won FROM combined",
     "final": "SELECT * FROM excl WHERE won = 1",
     "outc": "SELECT s1_id, t_id, max(f) AS f, max(t) AS t FROM (SELECT DISTINCT s1_id, t_id, 1 AS f, 0 AS t FROM final UNION ALL SELECT DISTINCT s1_id, t_id, 0, 1 FROM truth) GROUP BY ALL",
@@ -221,7 +251,7 @@ def _features() -> dict[str, str]:
         "n_ts_ratio": _token_set("n", "ans", "bns"), "n_sort_ratio": _ratio("asort", "bsort"), "n_ratio": _ratio("an", "bn"), "n_partial": "partial", "n_sq_ratio": _ratio("asq", "bsq"),
         "n_exact": flag("an <> '' AND an = bn"), "n_first_token_ratio": f"CASE WHEN len(anw) > 0 AND len(bnw) > 0 THEN {_ratio('a1', 'b1')} ELSE 0.0 END", "n_first_token_exact": flag("anw[1] = bnw[1]"),
         "n_containment": _contain("ans", "bns"), "n_len_ratio": "CASE WHEN greatest(length(an), length(bn)) > 0 THEN CAST(least(length(an), length(bn)) AS DOUBLE) / greatest(length(an), length(bn)) ELSE 1.0 END",
-        "len_diff": "CAST(abs(length(an) - length(bn)) AS DOUBLE)", "a_ts_ratio": addressed(_token_set("a", "aaw", "baw")), "a_sort_ratio": addressed(_ratio("aasort", "basort")), "a_containment": addressed(_contain("aaw", "baw")),
+        "len_diff": "CAST(abs(length(an) - length(bn)) AS DOUBLE)", "a_ts_ratio": addressed(_token_set("a", "aaw", "baw", "a_len")), "a_sort_ratio": addressed("CAST(200.0 AS DOUBLE) * sort_len / (length(aasort) + length(basort))"), "a_containment": addressed(_contain("aaw", "baw")),
         "num_jaccard": addressed(f"CASE WHEN {some} THEN CAST(len(list_intersect(anums, bnums)) AS DOUBLE) / len(list_distinct(list_concat(anums, bnums))) WHEN {none} THEN 0.5 ELSE 0.0 END"),
         "num_exact": addressed(f"CASE WHEN {some} THEN {flag('list_has_any(anums, bnums)')} WHEN {none} THEN 0.5 ELSE 0.0 END"),
         "a_postal_match": addressed(flag(f"{coded} AND list_has_any(apost, bpost)")), "a_postal_conflict": addressed(flag(f"{coded} AND NOT list_has_any(apost, bpost)")),
@@ -243,7 +273,8 @@ def _windows(src: str, name: str) -> dict[str, str]:
 
 CTES |= _windows("topn", "topw")
 CTES |= {"candp": _pair_table("(SELECT s1_id, t_id FROM cand)"), "pairtab2": f"SELECT *, {_sorted('anw')} AS asort, {_sorted('bnw')} AS bsort, coalesce(anw[1], '') AS a1, coalesce(bnw[1], '') AS b1, {_sorted(_words('aa'))} AS aasort, {_sorted(_words('ba'))} AS basort FROM candp"}
-CTES |= _windows("pairtab2", "featp")
+CTES |= _long_lcs("pairtab2", "pairtab3", {"a_len": ("a_left", "a_right"), "sort_len": ("aasort", "basort")})
+CTES |= _windows("pairtab3", "featp")
 CTES |= {"tops": f"SELECT *, {_sorted('anw')} AS asort, {_sorted('bnw')} AS bsort FROM topn"}
 
 _STATES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in US_STATES.items()) + "}"
@@ -276,6 +307,9 @@ FINAL: dict[str, str] = {
     "token_set_ratio": f"SELECT s1_id, t_id, round({_token_set('n', 'ans', 'bns')}, 4) AS ratio FROM topn",
     "partial_ratio": "SELECT s1_id, t_id, round(partial, 4) AS ratio FROM topw",
     "ngram_cosine_topk": "SELECT s1_id, t_id, sim, rank FROM cos34",
+    "hashed_ngrams": f"""SELECT entity_id, count(*) AS places, count(*) FILTER (WHERE n > 0) AS positive, round(sum(abs(n)) / sqrt(sum(n * n)), 6) AS total, CAST(sum(place * sign(n)) AS BIGINT) AS placed FROM (
+      SELECT entity_id, {_hash_bucket('gram', 65536)} AS place, CAST(sum(CASE WHEN CAST('0x' || substr(md5(gram), 9, 8) AS BIGINT) % 2 = 0 THEN w ELSE -w END) AS DOUBLE) AS n FROM tf34 GROUP BY ALL)
+      WHERE n <> 0 GROUP BY entity_id""",
     "tfidf_cosine_topk": "SELECT s1_id, t_id, sim, rank FROM cos35",
     "pair_features": "SELECT s1_id, t_id, " + ", ".join(f"round({_features()[f]}, 4) AS {f}" for f in FEATURES) + " FROM featp",
     "positive_pairs": "SELECT s1_id, t_id FROM truth WHERE t_id IN (SELECT entity_id FROM tg)",
@@ -304,7 +338,7 @@ FINAL: dict[str, str] = {
     "entity_search": """SELECT entity_id, country, name, address, n AS match_count FROM s1 JOIN (SELECT s1_id, count(*) AS n FROM topk GROUP BY s1_id) ON s1_id = entity_id
       WHERE upper(country) = 'EN' AND contains(lower(entity_id || ' ' || name || ' ' || address), 'an') ORDER BY entity_id LIMIT 50""",
     "match_hydration": f"""SELECT s1_id, x.t_id, coalesce(tg.name, 'Entity ' || x.t_id) AS name, coalesce(tg.address, '') AS address, {_source('x.t_id')} AS source
-      FROM (SELECT s1_id, CASE WHEN rank = 20 THEN t_id || 'x' ELSE t_id END AS t_id FROM topk) x LEFT JOIN tg ON tg.entity_id = x.t_id""",
+      FROM (SELECT s1_id, CASE WHEN rank = {PARAMS.pool} THEN t_id || 'x' ELSE t_id END AS t_id FROM topk) x LEFT JOIN tg ON tg.entity_id = x.t_id""",
     "confidence_label": f"SELECT s1_id, t_id, CASE WHEN p >= 0.90 THEN 'High Confidence Match' WHEN p >= {THRESHOLD} THEN 'Match' WHEN p >= 0.50 THEN 'Borderline Non-Match' ELSE 'Distinct Businesses' END AS label FROM judged",
 }
 
