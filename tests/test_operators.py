@@ -1,8 +1,12 @@
+import functools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_functions import slow_lcs, slow_windows
+from weftlink.functions import normalize as N
 from weftlink.operators import assignment, blocking, evaluation, features, search, training, validation
 from weftlink.operators.blocking import BlockingParams
 from weftlink.plans.queries import View
@@ -90,6 +94,53 @@ def test_features_of_an_empty_pair(spark):
     assert r.asDict().keys() == {"s1_id", "t_id", *features.FEATURES}
 
 
+def plain_features(t_id, a, b):
+    """The 22 features again, from their definitions."""
+    (an, aa), (bn, ba) = a, b
+    ratio = lambda x, y: 200.0 * slow_lcs(x, y) / (len(x) + len(y)) if x or y else 100.0
+    ordered = lambda x: " ".join(sorted(x.split()))
+
+    def sets(x, y):
+        x, y = set(x.split()), set(y.split())
+        if not x or not y:
+            return 0.0
+        both, left, right = (" ".join(sorted(z)) for z in (x & y, x - y, y - x))
+        if both and (not left or not right):
+            return 100.0
+        whole = [f"{both} {z}".strip() for z in (left, right)]
+        return max([ratio(*whole), *([ratio(both, w) for w in whole] if both else [])])
+
+    contain = lambda x, y: len(set(x) & set(y)) / min(len(set(x)), len(set(y))) if x and y else 0.0
+    digits = lambda x, low, high: [w for w in re.findall(r"\w+", x) if w.isdigit() and low <= len(w) <= high]
+    aw, bw, an2, bn2, ap, bp = an.split(), bn.split(), set(digits(aa, 2, 6)), set(digits(ba, 2, 6)), set(digits(aa, 5, 6)), set(digits(ba, 5, 6))
+    af, bf = digits(aa, 1, 99)[:1], digits(ba, 1, 99)[:1]
+    empty = not aa or not ba
+    squash = lambda x: functools.reduce(lambda c, w: c.replace(w, ""), N.SQUASH_STRONG, x)
+    clean = lambda x: re.sub("[^a-z0-9]", "", squash(x))
+    out = [sets(an, bn), ratio(ordered(an), ordered(bn)), ratio(an, bn), slow_windows(an, bn), ratio(clean(an), clean(bn)), an == bn != "", ratio(aw[0], bw[0]) if aw and bw else 0, bool(aw and bw and aw[0] == bw[0]), contain(aw, bw),
+           min(len(an), len(bn)) / max(len(an), len(bn)) if an or bn else 1, abs(len(an) - len(bn))]
+    if empty:
+        out += [0, 0, 0, 0, 0, 0, 0, 0.5]
+    else:
+        out += [sets(aa, ba), ratio(ordered(aa), ordered(ba)), contain(aa.split(), ba.split()), len(an2 & bn2) / len(an2 | bn2) if an2 and bn2 else 0.5 if not an2 and not bn2 else 0,
+                bool(an2 & bn2) if an2 and bn2 else 0.5 if not an2 and not bn2 else 0, bool(ap and bp and ap & bp), bool(ap and bp and not ap & bp), af == bf if af and bf else 0.5]
+    return [float(x) for x in [*out, empty, t_id.startswith("S2-"), t_id.startswith("S3-")]]
+
+
+def test_features_equal_a_plain_form(spark):
+    r = random.Random(9)
+    words = ["acme", "steel", "works", "blue", "ocean", "and", "12", "33101", "44444", "road", "caf\u00e9", "com", "7"]
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    rows = [(f"S{1 + i % 3}-{i}", "US", some(r.choice([0, 1, 3, 5])), some(r.choice([0, 2, 9, 60]))) for i in range(24)]
+    by = {i: (n, a) for i, _, n, a in rows}
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0].startswith("S1-") and not b[0].startswith("S1-")]
+    df = records(spark, rows)
+    got = features.pair_features(frame(spark, pairs, "s1_id string, t_id string"), df, df).collect()
+    assert len(got) == len(pairs)
+    for x in got:
+        assert [x[f] for f in features.FEATURES] == pytest.approx(plain_features(x.t_id, by[x.s1_id], by[x.t_id])), (by[x.s1_id], by[x.t_id])
+
+
 def test_decision_and_exclusivity(spark):
     schema = "s1_id string, t_id string, p double, a_name string, b_name string, a_addr string, b_addr string"
     rows = [("S1-1", "S2-1", 0.85, "acme", "acme", "x", "x"), ("S1-2", "S2-1", 0.95, "acme b", "acme", "x", ""), ("S1-3", "S2-2", 0.85, "acme", "acme", "x", ""), ("S1-4", "S2-3", 0.85, "a", "a", "", ""), ("S1-5", "S2-1", 0.9, "acme", "acme", "x", "x")]

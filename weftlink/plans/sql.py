@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from weftlink.functions.normalize import ADDRESS_WORDS, LEGAL_WORDS, SQUASH_STRONG, SQUASH_WEAK, US_STATES
-from weftlink.operators.features import FEATURES
 from weftlink.plans.queries import PARAMS, THRESHOLD
 
 _SEP = r"[^\p{L}\p{N}_]+"
@@ -237,29 +236,6 @@ def _hash_bucket(x: str, n: int) -> str:
     return f"(CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) % {n})"
 
 
-def _contain(a: str, b: str) -> str:
-    return f"CASE WHEN least(len({a}), len({b})) > 0 THEN CAST(len(list_intersect({a}, {b})) AS DOUBLE) / least(len({a}), len({b})) ELSE 0.0 END"
-
-
-def _features() -> dict[str, str]:
-    empty = "(aa = '' OR ba = '')"
-    addressed = lambda x, other="0.0": f"CASE WHEN {empty} THEN {other} ELSE {x} END"
-    some, none = "(len(anums) > 0 AND len(bnums) > 0)", "(len(anums) = 0 AND len(bnums) = 0)"
-    coded = "(len(apost) > 0 AND len(bpost) > 0)"
-    flag = lambda x: f"CASE WHEN {x} THEN 1.0 ELSE 0.0 END"
-    return {
-        "n_ts_ratio": _token_set("n", "ans", "bns"), "n_sort_ratio": _ratio("asort", "bsort"), "n_ratio": _ratio("an", "bn"), "n_partial": "partial", "n_sq_ratio": _ratio("asq", "bsq"),
-        "n_exact": flag("an <> '' AND an = bn"), "n_first_token_ratio": f"CASE WHEN len(anw) > 0 AND len(bnw) > 0 THEN {_ratio('a1', 'b1')} ELSE 0.0 END", "n_first_token_exact": flag("anw[1] = bnw[1]"),
-        "n_containment": _contain("ans", "bns"), "n_len_ratio": "CASE WHEN greatest(length(an), length(bn)) > 0 THEN CAST(least(length(an), length(bn)) AS DOUBLE) / greatest(length(an), length(bn)) ELSE 1.0 END",
-        "len_diff": "CAST(abs(length(an) - length(bn)) AS DOUBLE)", "a_ts_ratio": addressed(_token_set("a", "aaw", "baw", "a_len")), "a_sort_ratio": addressed("CAST(200.0 AS DOUBLE) * sort_len / (length(aasort) + length(basort))"), "a_containment": addressed(_contain("aaw", "baw")),
-        "num_jaccard": addressed(f"CASE WHEN {some} THEN CAST(len(list_intersect(anums, bnums)) AS DOUBLE) / len(list_distinct(list_concat(anums, bnums))) WHEN {none} THEN 0.5 ELSE 0.0 END"),
-        "num_exact": addressed(f"CASE WHEN {some} THEN {flag('list_has_any(anums, bnums)')} WHEN {none} THEN 0.5 ELSE 0.0 END"),
-        "a_postal_match": addressed(flag(f"{coded} AND list_has_any(apost, bpost)")), "a_postal_conflict": addressed(flag(f"{coded} AND NOT list_has_any(apost, bpost)")),
-        "a_first_num_match": addressed(f"CASE WHEN anum IS NOT NULL AND bnum IS NOT NULL THEN {flag('anum = bnum')} ELSE 0.5 END", "0.5"), "addr_empty": flag(empty),
-        "is_s2": flag("t_id LIKE 'S2-%'"), "is_s3": flag("t_id LIKE 'S3-%'"),
-    }
-
-
 def _windows(src: str, name: str) -> dict[str, str]:
     """Partial ratio of an and bn of ``src``: one row per window of the longer, the best of them; both ways if they are as long as each other."""
     return {
@@ -272,9 +248,6 @@ def _windows(src: str, name: str) -> dict[str, str]:
 
 
 CTES |= _windows("topn", "topw")
-CTES |= {"candp": _pair_table("(SELECT s1_id, t_id FROM cand)"), "pairtab2": f"SELECT *, {_sorted('anw')} AS asort, {_sorted('bnw')} AS bsort, coalesce(anw[1], '') AS a1, coalesce(bnw[1], '') AS b1, {_sorted(_words('aa'))} AS aasort, {_sorted(_words('ba'))} AS basort FROM candp"}
-CTES |= _long_lcs("pairtab2", "pairtab3", {"a_len": ("a_left", "a_right"), "sort_len": ("aasort", "basort")})
-CTES |= _windows("pairtab3", "featp")
 CTES |= {"tops": f"SELECT *, {_sorted('anw')} AS asort, {_sorted('bnw')} AS bsort FROM topn"}
 
 _STATES = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in US_STATES.items()) + "}"
@@ -311,7 +284,6 @@ FINAL: dict[str, str] = {
       SELECT entity_id, {_hash_bucket('gram', 65536)} AS place, CAST(sum(CASE WHEN CAST('0x' || substr(md5(gram), 9, 8) AS BIGINT) % 2 = 0 THEN w ELSE -w END) AS DOUBLE) AS n FROM tf34 GROUP BY ALL)
       WHERE n <> 0 GROUP BY entity_id""",
     "tfidf_cosine_topk": "SELECT s1_id, t_id, sim, rank FROM cos35",
-    "pair_features": "SELECT s1_id, t_id, " + ", ".join(f"round({_features()[f]}, 4) AS {f}" for f in FEATURES) + " FROM featp",
     "positive_pairs": "SELECT s1_id, t_id FROM truth WHERE t_id IN (SELECT entity_id FROM tg)",
     "target_sample": f"SELECT entity_id, {_source('entity_id')} AS source, entity_id IN (SELECT t_id FROM truth) AS needed FROM tg WHERE entity_id IN (SELECT t_id FROM truth) OR {_hash_bucket('entity_id', 4)} < 1",
     "hard_negatives": "SELECT * FROM (SELECT s1_id, t_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY rank) AS INTEGER) AS rn FROM topk ANTI JOIN truth USING (s1_id, t_id)) WHERE rn <= 4",
