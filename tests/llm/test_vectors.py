@@ -1,8 +1,10 @@
 import math
+import random
 
 import numpy as np
 import pytest
 
+from weftlink.llm import pivot_search
 from weftlink.llm.components import connected_components
 from weftlink.llm.embedding_dedup import VectorDedupParams, dedup_vectors
 from weftlink.llm.pivot_search import SearchParams, quantised, top_k
@@ -77,3 +79,16 @@ def test_components_of_paths_stars_and_cycles(spark):
     want = {i: 100 for i in range(100, 141)} | {i: 7 for i in (7, *range(200, 260))} | {300: 300, 301: 300, 302: 300}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_top_k_of_every_length_and_of_large_components(spark):
+    r = random.Random(1)
+    rows = [(i, [r.uniform(-1, 1) for _ in range([4, 4, 4, 7][i % 4])]) for i in range(120)] + [(1000, []), (1001, None), (1002, [1e18] * 9)]
+    q = pivot_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256.0)
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in pivot_search.top_k(q, "id % 2 = 0", pivot_search.SearchParams(k=5)).collect())
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows if e}
+    want = []
+    for i in v:
+        near = sorted((-sum(a * b for a, b in zip(v[i], v[j])), j) for j in v if j != i and len(v[j]) == len(v[i]))[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)] if i % 2 == 0 else []
+    assert got == sorted(want) and q.where("id = 1002").head().vec[0] == 256e18

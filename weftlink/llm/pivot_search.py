@@ -15,8 +15,8 @@ the annuli is bounded, so the index's description is small; large annuli are cut
 Scores are integer inner products, exact as long as they stay below 2^53.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, as rows
-with a null id; rows that repeat an id are one vector (the smallest by array order); only vectors of the commonest
-length of the sample are compared; ties go to the smaller id; extra columns are ignored; an empty table gives no rows.
+with a null id; rows that repeat an id are one vector (the smallest by array order); a query is compared with
+vectors of its own length, each length in an index of its own; ties go to the smaller id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +50,9 @@ class SearchParams:
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """(id, vec): floor(scale * x) of every component, for vectors that take part."""
     rows = one_per_id(vectors, id_col, vec_col).where(finite(F.col("vec")))
-    return rows.select("id", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("vec"))
+    # Spark's floor gives a long; from 2^52 on every double is whole already
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
+    return rows.select("id", F.transform("vec", lambda x: whole(x * F.lit(scale))).alias("vec"))
 
 
 @dataclass(frozen=True)
@@ -180,23 +182,28 @@ def _searcher(index: _Index):
 
 
 def top_k(candidates: DataFrame, is_query: str, params: SearchParams = SearchParams()) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of ``candidates(id, vec)`` that satisfy ``is_query``, against all other rows."""
-    p = params
-    schema = "query_id long, rank int, vec_id long, score long"
-    spark = candidates.sparkSession
+    """(query_id, rank, vec_id, score) for the rows of ``candidates(id, vec)`` that satisfy ``is_query``, against all other rows of their length."""
     rows = staged(candidates, "search-vectors")
+    found = candidates.sparkSession.createDataFrame([], SCHEMA)
+    for r in rows.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect():
+        found = found.unionByName(_top_k(rows.where(F.size("vec") == r["dim"]), r["dim"], is_query, params))
+    return found
+
+
+SCHEMA = "query_id long, rank int, vec_id long, score long"
+
+
+def _top_k(rows: DataFrame, dim: int, is_query: str, p: SearchParams) -> DataFrame:
+    """``top_k`` of vectors of one length."""
+    schema, spark = SCHEMA, rows.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(p.sample).toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], schema)
-    dim = int(sample["vec"].map(len).mode().iloc[0])
-    rows = rows.where(F.size("vec") == dim)
     n, top = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).head()
     n_queries = rows.where(is_query).count()
     if not n_queries:
         return spark.createDataFrame([], schema)
     side = max(1, math.ceil(math.sqrt(n / p.block)))
     blank = _Index(np.empty((0, dim + 1)), top, np.empty((0, 4)), {}, p)
-    pivots = _fit_pivots(blank.lifted(_stack(sample["vec"][sample["vec"].map(len) == dim])), min(side, p.pivots), p.seed)
+    pivots = _fit_pivots(blank.lifted(_stack(sample["vec"])), min(side, p.pivots), p.seed)
     keyed = staged(rows.mapInPandas(_keyer(pivots, top), "id long, vec array<double>, pivot int, r double"), "search-keys")
     annuli = min(side, p.annuli)
     cuts = {r["pivot"]: sorted(set(r["q"])) for r in keyed.groupBy("pivot").agg(F.percentile_approx("r", [i / annuli for i in range(1, annuli)] or [1.0], 1000).alias("q")).collect()}
