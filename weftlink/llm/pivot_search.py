@@ -114,30 +114,47 @@ def _keyer(pivots: np.ndarray, top: float):
     return key
 
 
+def _query_bounds(index: _Index, vec: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of queries' scores by annulus, and the queries' distances from the annuli's pivots."""
+    q, cells = _stack(vec), index.cells
+    sq = np.einsum("ij,ij->i", q, q)
+    d = index.distances(np.column_stack([q, np.zeros(len(q))]))[:, cells[:, 1].astype(int)]
+    return index.best_scores(sq[:, None], d, cells[None, :, 2], cells[None, :, 3]), d
+
+
+def _homes(index: _Index):
+    """Adds to each query the annulus that it searches first, as a position in ``index.cells``."""
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                bound, d = _query_bounds(index, pdf["vec"])
+                best = np.lexsort((np.broadcast_to(index.cells[:, 0], d.shape), d, -bound), axis=1)[:, 0]
+                yield pdf.assign(home=best.astype("int32"))
+
+    return home
+
+
 def _router(index: _Index, first: bool, parts: int):
-    """Sends queries (query_id, vec, floor) to the blocks of the annuli that they have to search."""
+    """Sends queries (query_id, vec, home, floor) to the blocks of the annuli that they have to search."""
     cells = index.cells
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            q = _stack(pdf["vec"])
-            sq = np.einsum("ij,ij->i", q, q)
-            d = index.distances(np.column_stack([q, np.zeros(len(q))]))[:, cells[:, 1].astype(int)]
-            bound = index.best_scores(sq[:, None], d, cells[None, :, 2], cells[None, :, 3])
-            home = np.lexsort((np.broadcast_to(cells[:, 0], d.shape), d, -bound), axis=1)[:, 0]
+            home = pdf["home"].to_numpy()
             if first:
-                rows, cols = np.arange(len(q)), home
+                rows, cols = np.arange(len(pdf)), home
             else:
-                open_ = bound >= pdf["floor"].to_numpy()[:, None]
-                open_[np.arange(len(q)), home] = False  # searched before
+                open_ = _query_bounds(index, pdf["vec"])[0] >= pdf["floor"].to_numpy()[:, None]
+                open_[np.arange(len(pdf)), home] = False  # searched before
                 rows, cols = np.nonzero(open_)
             n = np.asarray([index.blocks[int(c)] for c in cells[cols, 0]], np.int64)
             at = np.repeat(np.arange(len(rows)), n)
             block = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             out = pdf.iloc[rows[at]].reset_index(drop=True)
-            yield out.assign(cell=cells[cols[at], 0].astype("int32"), block=block.astype("int32"), part=(out["query_id"] % parts).astype("int32"))
+            yield out.drop(columns="home").assign(cell=cells[cols[at], 0].astype("int32"), block=block.astype("int32"), part=(out["query_id"] % parts).astype("int32"))
 
     return route
 
@@ -215,19 +232,24 @@ def _top_k(rows: DataFrame, dim: int, is_query: str, p: SearchParams) -> DataFra
     index = _Index(pivots, top, cells, {s["cell"]: -(-s["n"] // p.block) for s in stats}, p)
     parts = -(-n_queries // p.queries)
     blocks = F.create_map(*[F.lit(x) for c, b in index.blocks.items() for x in (c, b)])
-    held = celled.withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = celled.withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int"))
     found_schema = "query_id long, vec_id long, score long"
     routed = "query_id long, vec array<double>, floor double, cell int, block int, part int"
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def scan(queries: DataFrame, first: bool) -> DataFrame:
+        """Candidates go only to the parts of the queries that have to search their block."""
         key = ["cell", "block", "part"]
-        return queries.mapInPandas(_router(index, first, parts), routed).groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(_searcher(index), found_schema)
+        sent = queries.mapInPandas(_router(index, first, parts), routed)
+        wanted = sent.groupBy("cell", "block").agg(F.collect_set("part").alias("parts"))  # as many as parts at most
+        met = held.join(wanted, ["cell", "block"]).withColumn("part", F.explode("parts")).drop("parts")
+        return sent.groupBy(*key).cogroup(met.groupBy(*key)).applyInPandas(_searcher(index), found_schema)
 
     queries = keyed.where(is_query).select(F.col("id").alias("query_id"), "vec")
+    queries = staged(queries.mapInPandas(_homes(index), "query_id long, vec array<double>, home int"), "search-queries")
     start = scan(queries.withColumn("floor", F.lit(-math.inf)), True)
     start = staged(start.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k), "search-first")
     floors = start.where(F.col("rank") == p.k).select("query_id", F.col("score").cast("double").alias("found"))
-    rest = scan(queries.join(floors, "query_id", "left").select("query_id", "vec", F.coalesce("found", F.lit(-math.inf)).alias("floor")), False)
+    rest = scan(queries.join(floors, "query_id", "left").select("query_id", "vec", "home", F.coalesce("found", F.lit(-math.inf)).alias("floor")), False)
     both = start.drop("rank").unionByName(rest)
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
