@@ -184,7 +184,7 @@ def test_validation_rules(spark):
     assert validation.header_findings(None, HEADER) == [("empty_file", "error")] and validation.header_findings("a,b", HEADER) == [("not_tab_separated", "error")]
     assert validation.header_findings("a\tb", HEADER) == [("wrong_header", "error")] and validation.header_findings("SOURCE1_entity_id\tmatched_entity_ids\n", HEADER) == []
     short = rows.where("id = 'S1-6'")
-    assert validation.not_candidates(short, rows.where("id = 'S1-1'")).head().n == 1
+    assert validation.report([validation.not_candidates(short, rows.where("id = 'S1-1'"))]).head().n == 1
 
 
 def test_search_and_hydration(spark):

@@ -85,3 +85,45 @@ def test_service(spark, tmp_path):
             assert e.code == 404
     finally:
         server.shutdown()
+
+
+def test_validator(spark, tmp_path, capsys):
+    from weftlink.sources.validator import check_results, main
+
+    def put(name, text):
+        path = tmp_path / name
+        path.write_bytes(text if isinstance(text, bytes) else text.encode())
+        return str(path)
+
+    t = str(tmp_path)
+    good = "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n"
+    matches, candidates = put("m.tsv", good), put("c.tsv", "source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-9\nS1-1\tS2-1,S3-1\nS1-2\t\n")
+
+    def found(*args):
+        return {(r.file, r.rule): (r.severity, r.n) for r in check_results(spark, *args).collect() if r.n}
+
+    assert found(matches, None, t) == {("test", "missing_test_source"): ("error", 1)}
+    put("test_source1.tsv", "entity_id\tbusiness_name\nS1-1\ta\nS1-2\tb\n")
+    off = {("both", "ids_not_checked"): ("warning", 1)}
+    assert found(matches, None, t) == off
+    # of repeated rows the last counts for what was proposed
+    assert found(matches, candidates, t) == off | {("candidates", "duplicate_row"): ("error", 1)}
+    turned = put("d.tsv", "source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1,S3-1\nS1-1\tS2-9\nS1-2\t\n")
+    assert found(matches, turned, t)[("both", "not_a_candidate")] == ("warning", 1)
+    assert found(matches, f"{t}/none", t) == off | {("both", "no_candidate_file"): ("warning", 1)}
+    assert found(matches, None, t, True) == off
+    put("test_source2.tsv", "entity_id\nS2-2\n"), put("test_source3.tsv", "entity_id\nS3-1\n")
+    assert found(matches, None, t, True) == {("matches", "unknown_id"): ("error", 1)}
+    for name, text, rule in [("e.tsv", "", "empty_file"), ("f.tsv", "a,b\n", "not_tab_separated"), ("g.tsv", "a\tb\n", "wrong_header"), ("h.tsv", good.encode() + b"S1-3\t\xff\xfe\n", "not_utf8")]:
+        assert found(put(name, text), None, t) == off | {("matches", rule): ("error", 1)}
+    assert found(f"{t}/none", None, t) == off | {("matches", "missing_file"): ("error", 1)}
+    assert main(["-m", matches, "-c", f"{t}/none", "-t", t], spark) == 0 and "PASS" in capsys.readouterr().out
+    assert main(["-m", f"{t}/none", "-t", t], spark) == 1 and "missing_file" in capsys.readouterr().out
+
+
+def test_lists_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "lists.tsv")
+    for ids in ("S2-1", "S2-2"):
+        tsv.write_lists(spark.createDataFrame([("S1-1", ids)], "a string, b string"), path)
+    assert [tuple(r) for r in tsv.read_id_lists(spark, path).collect()] == [("S1-1", ["S2-2"])]
+    assert not tsv.exists(spark, path + ".old") and not tsv.exists(spark, path + ".new")

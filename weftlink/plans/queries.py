@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from weftlink.functions import normalize as N
 from weftlink.functions import similarity as K
 from weftlink.operators import assignment, blocking, evaluation, features, search, training, validation
+from weftlink.plans import batch
 from weftlink.plans import entities as E
+from weftlink.sources import tsv
 
 #: The operators' own production values; tests give smaller limits, which bind on small tables.
 PARAMS = blocking.BlockingParams()
@@ -164,6 +168,27 @@ def _hashed(v: View) -> DataFrame:
     return by
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that the cluster shares, or, on one machine without one, a temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="weftlink-")
+    return f"{place.rstrip('/')}/weftlink/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _batch(v: View) -> DataFrame:
+    """From raw files to both result files, read back from them."""
+    home = _shared(v.spark, "batch")
+    paths = [f"{home}/source{i}.tsv" for i in (1, 2, 3)]
+    for i, path in enumerate(paths, 1):
+        tsv.write_entities(v.raw.where(F.col("entity_id").startswith(f"S{i}-")), path)
+    done = batch.link(v.spark, paths[0], paths[1:], f"{home}/output", batch.by_score, THRESHOLD, v.params)
+    read = lambda kind, path: tsv.read_id_lists(v.spark, path).select(F.lit(kind).alias("kind"), "s1_id", _joined(F.col("ids")).alias("ids"))
+    return read("candidates", done.candidates).unionByName(read("matches", done.matches))
+
+
 def _partitions(v: View) -> DataFrame:
     rows = v.rows.select(F.lit("test").alias("split"), N.source_of("entity_id").alias("source"), "country", "entity_id")
     return rows.groupBy("split", "source", "country").agg(F.count(F.lit(1)).alias("records"))
@@ -222,6 +247,7 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "confidence_label": lambda v: v.judged().select("s1_id", "t_id", assignment.confidence_label(F.col("p"), THRESHOLD).alias("label")),
     "feature_importances": _importances,
     "gbt_match": _gbt,
+    "batch_run": _batch,
 }
 
 

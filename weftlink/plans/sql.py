@@ -314,6 +314,8 @@ FINAL: dict[str, str] = {
     "confidence_label": f"SELECT s1_id, t_id, CASE WHEN p >= 0.90 THEN 'High Confidence Match' WHEN p >= {THRESHOLD} THEN 'Match' WHEN p >= 0.50 THEN 'Borderline Non-Match' ELSE 'Distinct Businesses' END AS label FROM judged",
 }
 
+FINAL["batch_run"] = f"SELECT 'candidates' AS kind, s1_id, candidates AS ids FROM ({FINAL['candidate_list']}) UNION ALL SELECT 'matches', s1_id, matched FROM ({FINAL['match_list']})"
+
 
 def _needed(sql: str) -> list[str]:
     """Names of the table expressions that a statement uses, each after those that it uses itself."""
