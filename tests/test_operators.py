@@ -1,4 +1,5 @@
 import functools
+import json
 import random
 import re
 
@@ -209,7 +210,9 @@ def test_training_finds_copies(spark, sf_dir, tmp_path):
     by = {r.label: r.p for r in scores}
     assert by[1] > by[0] and again.threshold == matcher.threshold
     r = search.explain_pair(spark, again, {"name": "Acme Ltd", "address": "1 Main St"}, {"name": "ACME", "address": "1 main street"}).head()
-    assert 0 <= r.match_probability <= 1 and '"n_exact":1.0' in r.features
+    assert 0 <= r.match_probability <= 1 and len(json.loads(r.features)) == 19
+    shown = json.loads(r.features)
+    assert shown["name_exact_match"] is True and shown["target_source"] == "Source 2" and shown["first_street_number_match"] is True
 
 
 def test_result_does_not_depend_on_partitions(spark, sf_dir):

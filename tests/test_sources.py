@@ -71,13 +71,16 @@ def test_service(spark, tmp_path):
     rows = spark.createDataFrame([("S1-1", "US", "acme steel", "1 main street", 1), ("S1-2", "FR", "blue", "", 0)], "entity_id string, country string, name string, address string, match_count int")
     matches = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, t_id string")
     (tmp_path / "f.tsv").write_bytes(b"x" * 3_000_000)
-    server = serve(routes(spark, rows, rows, matches), {"/download/f": str(tmp_path / "f.tsv")}, 0)
+    (tmp_path / "page.html").write_text("<p>page</p>")
+    server = serve(routes(spark, rows, rows, matches), {"/download/f": str(tmp_path / "f.tsv")}, 0, str(tmp_path / "page.html"))
     threading.Thread(target=server.serve_forever, daemon=True).start()
     get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}").read()
     try:
         assert json.loads(get("/api/entities?search=STEEL"))["entities"][0]["entity_id"] == "S1-1"
         assert {r["country"]: r["matched"] for r in json.loads(get("/api/stats"))["countries"]} == {"ALL": 1, "US": 1, "FR": 0}
-        assert len(get("/download/f")) == 3_000_000
+        assert len(get("/download/f")) == 3_000_000 and get("/") == b"<p>page</p>"
+        head = urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/download/f").headers
+        assert head["Content-Disposition"] == 'attachment; filename="f.tsv"' and head["Content-Type"] == "text/tab-separated-values"
         try:
             get("/api/none")
             raise AssertionError

@@ -54,7 +54,8 @@ def entity_split(pairs: DataFrame, folds: int = 5) -> DataFrame:
 class MatcherParams:
     step: float = 0.06
     depth: int = 5
-    iterations: int = 60
+    iterations: int = 60  #: at most
+    gain: float = 0.001  #: relative gain in log loss, on records kept for it, below which boosting stops
     subsample: float = 0.85
     features: str = "0.85"
     least: int = 20
@@ -92,12 +93,15 @@ class Matcher:
 
 
 def train_matcher(labelled: DataFrame, params: MatcherParams = MatcherParams()) -> Matcher:
-    """Fit on rows with the features, s1_id and label; the threshold is the best one for records that are held out."""
+    """Fit on rows with the features, s1_id and label, by log loss, until records kept apart gain no more; the threshold is the best one for records that are held out."""
     p = params
     rows = entity_split(labelled).persist()  # boosting reads them once for each tree
+    learned = rows.where("NOT held_out").withColumn("judges", bucket(F.concat("s1_id", F.lit("/stop")), 8) == 0)
     learner = GBTClassifier(labelCol="label", featuresCol="features", stepSize=p.step, maxDepth=p.depth, maxIter=p.iterations, subsamplingRate=p.subsample,
-                            featureSubsetStrategy=p.features, minInstancesPerNode=p.least, seed=p.seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), learner]).fit(rows.where("NOT held_out"))
+                            featureSubsetStrategy=p.features, minInstancesPerNode=p.least, seed=p.seed, lossType="logistic", validationTol=p.gain)
+    if learned.where("judges").head(1):
+        learner.setValidationIndicatorCol("judges")
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), learner]).fit(learned)
     best = best_threshold(threshold_sweep(Matcher(model, 0.5).score(rows.where("held_out")))).head()
     rows.unpersist()
     return Matcher(model, best["threshold"] if best else 0.5)

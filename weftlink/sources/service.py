@@ -1,4 +1,4 @@
-"""A thin HTTP front over the engine's tables: summary, entity search, pair scoring and downloads, one thread per request."""
+"""A thin HTTP front over the engine's tables: a page, summary, entity search, pair scoring and downloads, one thread per request."""
 
 from __future__ import annotations
 
@@ -33,24 +33,29 @@ def routes(spark: SparkSession, entities: DataFrame, records: DataFrame, matches
     return {"/api/stats": stats, "/api/entities": find} | ({"/api/predict": predict} if matcher else {})
 
 
-def serve(answers: dict[str, Callable[[dict], dict]], files: dict[str, str], port: int = 8000) -> ThreadingHTTPServer:
-    """A server (not started) for ``routes`` and for downloads: path -> local file, sent in chunks."""
+KINDS = {".tsv": "text/tab-separated-values", ".zip": "application/zip", ".html": "text/html"}
+
+
+def serve(answers: dict[str, Callable[[dict], dict]], files: dict[str, str], port: int = 8000, page: str | None = None) -> ThreadingHTTPServer:
+    """A server (not started) for ``routes``, for downloads (path -> local file, sent in chunks) and for a page (local file) at its root."""
 
     class Handler(BaseHTTPRequestHandler):
-        def _head(self, status: int, kind: str = "application/json") -> None:
+        def _head(self, status: int, kind: str = "application/json", **more: str) -> None:
             self.send_response(status)
             self.send_header("Content-Type", kind)
             self.send_header("Access-Control-Allow-Origin", "*")
+            self.send_header("Access-Control-Allow-Methods", "GET, POST, OPTIONS")
             self.send_header("Access-Control-Allow-Headers", "Content-Type")
+            for name, value in more.items():
+                self.send_header(name.replace("_", "-"), value)
             self.end_headers()
 
         def _answer(self, path: str, q: dict) -> None:
+            if path in ("/", "/index.html") and page and Path(page).is_file():
+                return self._send(Path(page))
             if path in files and Path(files[path]).is_file():
-                self._head(200, "application/octet-stream")
-                with open(files[path], "rb") as f:
-                    while part := f.read(CHUNK):
-                        self.wfile.write(part)
-                return
+                file = Path(files[path])
+                return self._send(file, Content_Disposition=f'attachment; filename="{file.name}"')
             try:
                 status, body = (200, answers[path](q)) if path in answers else (404, {"error": "not found"})
             except Exception as e:  # the caller gets every failure as an answer
@@ -58,6 +63,12 @@ def serve(answers: dict[str, Callable[[dict], dict]], files: dict[str, str], por
             self._head(status)
             self.wfile.write(json.dumps(body, default=str).encode())
 
+        def _send(self, file: Path, **more: str) -> None:
+            self._head(200, KINDS.get(file.suffix, "application/octet-stream"), **more)
+            with open(file, "rb") as f:
+                while part := f.read(CHUNK):
+                    self.wfile.write(part)
+
         def do_OPTIONS(self) -> None:
             self._head(200)
 
