@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.awkward import ROWS, docs
 from weftlink.llm import registry
-from weftlink.llm.bpe import BpeParams, Encoder, decode_column, encode, fold_bytes, fold_words, load_ranks
+from weftlink.llm.bpe import BpeParams, Encoder, _fold_long, decode_column, encode, fold_words, load_ranks, slices
 
 P = BpeParams(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, table_size=300, cache=50)
 
@@ -34,15 +35,32 @@ def test_ids_equal_the_librarys(enc, lib, text):
     assert ids(enc.ids(text)) == lib.encode_ordinary(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abst E'é\n\t  .,1　́中\x00\x1c\x85▁\U0001f600"), max_size=20), max_size=5))
+def test_ids_of_many_texts_equal_the_librarys(enc, lib, texts):
+    counts, found = enc.many(pa.array(["", *texts, ""]).slice(1, len(texts)) if texts else pa.array([], pa.string()))
+    assert [len(lib.encode_ordinary(t)) for t in texts] == counts.tolist()
+    assert [i for t in texts for i in lib.encode_ordinary(t)] == found.tolist()
+
+
+def test_slices():
+    assert list(slices(pa.array(["ab", "", "cdefg", "h", "i", ""]), 2)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(slices(pa.array([], pa.string()), 2)) == []
+
+
 def test_every_code_point(enc, lib):
-    bad = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and enc.find(t := f"a{chr(c)}b {chr(c)}1{chr(c)}  {chr(c)}") and ids(enc.ids(t)) != lib.encode_ordinary(t)]
-    assert bad == []
+    every = [f"a{chr(c)}b {chr(c)}1{chr(c)}  {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for texts in ([t for t in every if t[1].isspace()], [t for t in every if not t[1].isspace()]):
+        counts, found = enc.many(pa.array(texts))
+        want = [lib.encode_ordinary(t) for t in texts]
+        assert counts.tolist() == [len(x) for x in want] and found.tolist() == [i for x in want for i in x]
 
 
 def test_folds_agree_with_the_library(spark, enc, lib):
     words = ["a", " the", "zukeitpf", " étrech", "中文字", "\U0001f600", "x" * 300, "aaaaaaab", " 12345", "...!!", "\n\n", "abcdefgh" * 7]
     want = {w: lib._core_bpe.encode_single_piece(w.encode()) for w in words}
-    assert {w: fold_bytes(w.encode(), enc.ranks) for w in words} == want
+    assert {w: ids(x) for w, x in zip(words, enc.fold(words))} == want
+    assert {w: _fold_long(w.encode(), enc.ranks) for w in words} == want
     got = fold_words(spark.createDataFrame([(w,) for w in [*words, ""]], "word string"), enc.ranks).collect()
     assert {r.word: r.ids for r in got} == want | {"": []}
 

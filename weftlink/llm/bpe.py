@@ -7,8 +7,8 @@ pair of the lowest rank becomes one piece, until no pair has a rank.
    (``fold_words``): the fold's state is the pieces and the ranks of neighbours, and the rank map is a
    literal, cut into slots by a hash so that a look-up doesn't search it. The result, of bounded size, is
    broadcast.
-2. Workers cut texts into words, take what the table has, and fold the other distinct words themselves,
-   through a bounded cache. Nothing is shuffled.
+2. Workers cut batches of texts before blanks, number the distinct chunks, cut those into words, take what the
+   table has, and fold the other distinct words themselves, through a bounded cache. Nothing is shuffled.
 
 Decoding is a higher-order function over the ids that concatenates the pieces' bytes.
 
@@ -21,14 +21,15 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,12 @@ from weftlink.llm.common import texts
 SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = 2147483647
 _SLOTS = 1 << 16
+#: By a word's bytes, the width of those it is folded together with.
+_WIDTH = [next(w for w in (4, 6, 8, 10, 12, 16, 24, 32, 48, 64) if w >= n) for n in range(65)]
+_TOGETHER = 20_000  #: words folded together at most
 
 #: A blank after other white space that is also before white space or at the end: there, cutting before each blank isn't exact.
-_INEXACT = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
+_INEXACT = rf"[{SPACE}] (?:[{SPACE}]|\z)"
 
 
 @dataclass(frozen=True)
@@ -51,8 +55,8 @@ class BpeParams:
     table_size: int = 30_000  #: words of the broadcast table at most
     sample_words: int = 300_000  #: words in texts that they come from; doesn't change any id
     table_bytes: int = 32  #: longest word of the table
-    cache: int = 600_000  #: encoded words that a worker remembers at most; of whitespace chunks a third as many
-    flush: int = 2_000_000  #: ids in an output batch
+    cache: int = 600_000  #: encoded words that a worker remembers at most; of chunks between blanks two thirds as many
+    batch_bytes: int = 8 << 20  #: texts encoded together are no longer, unless it is one text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -131,7 +135,7 @@ def frequent_words(text: DataFrame, p: BpeParams, ranks: dict[bytes, int]) -> di
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The fold in n log n: pairs wait in a heap by rank and place, pieces are a linked list."""
+    """The fold of a long word in n log n: pairs wait in a heap by rank and place, pieces are a linked list."""
     n = len(word)
     start, end, left, right = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -159,26 +163,69 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i]:end[i]]] for i in range(n) if alive[i]]
 
 
-def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold in a worker: pieces and the ranks of neighbours in lists, or for long words a heap."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    if len(word) > 64:
-        return _fold_long(word, ranks)
-    rank = ranks.get
-    pieces = [word[i:i + 1] for i in range(len(word))]
-    beside = [rank(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
-    while beside and (low := min(beside)) != _NONE:
-        k = beside.index(low)
-        piece = pieces[k] + pieces[k + 1]
-        pieces[k:k + 2] = [piece]
-        del beside[k]
-        if k < len(beside):
-            beside[k] = rank(piece + pieces[k + 1], _NONE)
-        if k:
-            beside[k - 1] = rank(pieces[k - 1] + piece, _NONE)
-    return [ranks[x] for x in pieces]
+class PairTable:
+    """The same fold for many words together: which pieces side by side are a piece, in a hash table of arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = np.asarray([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.base = max(ranks.values()) + 1
+        pairs = {ranks[w[:i]] * self.base + ranks[w[i:]]: rank for w, rank in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+        self.shift = np.uint64(64 - max(4, (4 * len(pairs)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32)
+        keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        at = self._slot(keys)
+        while len(keys):  # of those that want a slot the last stays, the others go one further
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            own = self.keys[at] == keys
+            self.ranks[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], (at[~own] + 1) % size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of what pieces make together, ``_NONE`` where that is no piece."""
+        keys = left.astype(np.int64) * self.base + right
+        at = self._slot(keys)
+        out = self.ranks[at]
+        off = np.flatnonzero(self.keys[at] != keys)
+        out[off] = _NONE
+        off = off[self.keys[at[off]] != -1]
+        while len(off):
+            at[off] = (at[off] + 1) % len(self.keys)
+            met = self.keys[at[off]]
+            same = met == keys[off]
+            out[off[same]] = self.ranks[at[off[same]]]
+            off = off[~same & (met != -1)]
+        return out
+
+    def fold(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids of words of 2 to ``width`` bytes, little-endian, 32 bits."""
+        n = np.fromiter(map(len, words), np.int32, len(words))
+        pieces = self.bytes[np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(len(words), width)]
+        col = np.arange(width - 1, dtype=np.int32)
+        beside = self.rank(pieces[:, :-1].ravel(), pieces[:, 1:].ravel()).reshape(len(words), width - 1)
+        beside[col >= n[:, None] - 1] = _NONE
+        rows, out, size = np.arange(len(words)), np.empty((len(words), width), "<i4"), n.copy()
+        while len(rows):
+            k = beside.argmin(1)
+            low = beside[np.arange(len(rows)), k]
+            done = low == _NONE
+            out[rows[done]], size[rows[done]] = pieces[done], n[done]
+            left = ~done
+            pieces, beside, rows, n, k, low = pieces[left], beside[left], rows[left], n[left] - 1, k[left], low[left]
+            each, behind = np.arange(len(rows)), col > k[:, None]
+            pieces[:, :-1] = np.where(behind, pieces[:, 1:], pieces[:, :-1])
+            pieces[each, k] = low
+            beside[:, :-1] = np.where(behind[:, :-1], beside[:, 1:], beside[:, :-1])
+            beside[:, -1] = _NONE
+            beside[each, k] = np.where(k < n - 1, self.rank(low, pieces[each, k + 1]), _NONE)
+            e, j = each[k > 0], k[k > 0]
+            beside[e, j - 1] = self.rank(pieces[e, j - 1], low[k > 0])
+        raw, step = out.tobytes(), 4 * width
+        return [raw[i:i + 4 * m] for i, m in zip(range(0, len(raw), step), size.tolist())]
 
 
 class Encoder:
@@ -186,23 +233,73 @@ class Encoder:
         import regex
 
         self.ranks = load_ranks(p.ranks)
+        self.pairs = PairTable(self.ranks)
         spelled = p.pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.find = regex.compile(spelled).findall
         #: Whether a blank belongs to the word after it, so that texts can be cut before blanks (see ``_INEXACT``).
         self.by_blank = all(self.find(x) == w for x, w in (("a b", ["a", " b"]), ("a  b", ["a", " ", " b"]), ("a\n b", ["a", "\n", " b"]), ("1 .", ["1", " ."])))
-        self.words = BoundedCache(self._word, p.cache, table)
-        self.chunks = BoundedCache(lambda c: b"".join(map(self.words.__getitem__, self.find(c))), p.cache // 3, keep=lambda c: len(c) < 40)
-
-    def _word(self, word: str) -> bytes:
-        ids = fold_bytes(word.encode("utf-8"), self.ranks)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.words = BoundedCache(lambda w: self.fold([w])[0], p.cache, table)
+        self.chunks = BoundedCache(self.ids, p.cache * 2 // 3, keep=lambda c: len(c) < 40)
+
+    def fold(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: whole pieces, words of like lengths together, and long words one by one."""
+        raw = [w.encode("utf-8") for w in words]
+        out: list[bytes] = [b""] * len(raw)
+        alike: dict[int, list[int]] = {}
+        for i, w in enumerate(raw):
+            if (whole := self.ranks.get(w)) is not None:
+                out[i] = struct.pack("<I", whole)
+            elif len(w) > 64:
+                out[i] = np.asarray(_fold_long(w, self.ranks), "<u4").tobytes()
+            else:
+                alike.setdefault(_WIDTH[len(w)], []).append(i)
+        for width, own in alike.items():
+            for at in range(0, len(own), _TOGETHER):
+                part = own[at:at + _TOGETHER]
+                for i, ids in zip(part, self.pairs.fold([raw[i] for i in part], width)):
+                    out[i] = ids
+        return out
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, little-endian, 32 bits."""
-        if not self.by_blank or _INEXACT.search(text):
-            return b"".join(map(self.words.__getitem__, self.find(text)))
-        first, *rest = text.split(" ")
-        return (self.chunks[first] if first else b"") + b"".join(map(self.chunks.__getitem__, [" " + c for c in rest]))
+        return b"".join(self.words.many(self.find(text), self.fold))
+
+    def _cut(self, chunks: list[str]) -> list[bytes]:
+        words = list(map(self.find, chunks))
+        found = iter(self.words.many(list(chain.from_iterable(words)), self.fold))
+        return [next(found) if len(own) == 1 else b"".join(islice(found, len(own))) for own in words]
+
+    def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of all texts, and their ids one after another. Each distinct chunk is looked up once."""
+        if not self.by_blank or pc.any(pc.match_substring_regex(column, _INEXACT), min_count=0).as_py():
+            found = [self.ids(t) for t in column.to_pylist()]
+            return np.asarray([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), "<i4")
+        lists = pc.split_pattern(column, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        coded = lists.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        firsts = [chunks[k] for k in at[ends[:-1]]]  # no blank before them
+        at[ends[:-1]] = np.arange(len(chunks), len(chunks) + len(firsts))
+        pieces = self.chunks.many([" " + c for c in chunks] + firsts, self._cut)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        start = np.cumsum(size) - size
+        n = size[at]
+        until = np.cumsum(n)
+        place = np.repeat(start[at] - (until - n), n)
+        place += np.arange(len(place))
+        counts = np.diff(np.concatenate([[0], until])[ends])
+        return counts, np.frombuffer(b"".join(pieces), "<i4")[place]
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows of ``most`` bytes at most, or of one row that is longer."""
+    done = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + most, "right")) - 1)
+        yield at, to
+        at = to
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -221,17 +318,10 @@ def encode(docs: DataFrame, params: BpeParams, id_col: str = "doc_id", text_col:
             _ENCODERS[key] = Encoder(p, table.value)
         enc = _ENCODERS[key]
         for batch in batches:
-            doc_ids, column = batch.column(0), batch.column(1)
-            found: list[bytes] = []
-            size = begin = 0
-            for k in range(len(column)):
-                found.append(enc.ids(column[k].as_py()))
-                size += len(found[-1]) // 4
-                if size >= p.flush or k == len(column) - 1:
-                    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(begin, len(found)), ids], names=["doc_id", "ids"])
-                    found, size, begin = [], 0, k + 1
+            for at, to in slices(batch.column(1), p.batch_bytes):
+                counts, ids = enc.many(batch.column(1).slice(at, to - at))
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(ends, pa.array(ids))], names=["doc_id", "ids"])
 
     return text.mapInArrow(run, "doc_id long, ids array<int>")
 

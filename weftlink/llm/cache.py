@@ -21,9 +21,26 @@ class BoundedCache(dict):
             value = self.compute(key)
             if self.keep and not self.keep(key):
                 return value
+        return self._hold(key, value)
+
+    def _hold(self, key, value):
         if len(self) - len(self.seed) >= self.half:
             self.older = dict(self)
             self.clear()
             self.update(self.seed)
         self[key] = value
         return value
+
+    def many(self, keys: list, compute) -> list:
+        """Values of ``keys``; ``compute`` takes the distinct missing ones together and gives a list."""
+        out = list(map(self.get, keys))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        lacking = list(dict.fromkeys(keys[i] for i in gaps if keys[i] not in self.older))
+        found = dict(zip(lacking, compute(lacking))) if lacking else {}
+        older = self.older
+        for i in gaps:
+            key = keys[i]
+            out[i] = value = found[key] if key in found else older[key]
+            if not self.keep or self.keep(key):
+                self._hold(key, value)
+        return out
