@@ -39,6 +39,57 @@ def _prose(r: random.Random, n: int) -> str:
     return " ".join(_word(r) + r.choice(["", "", "", ",", "."]) for _ in range(n))
 
 
+# What stands for a secret in documentation.
+STAND_INS = ("your", "xxx", "changeme", "change-me", "replace", "placeholder", "example", "dummy", "insert", "redacted", "todo", "enter", "***", "...", "<", "${", "{{", "%(", "$(", "env", "getenv", "vault", "forgot", "must")
+
+_PASSWORD_NAMES = ("password", "passwd", "pwd", "passphrase", "secret", "db_password", "PASSWORD", "adminPassword", "smtp_password", "MYSQL_ROOT_PASSWORD", "user_pwd")
+_USERS = ("admin", "root", "deploy", "svc", "app", "backup", "reader", "postgres", "guest", "ci")
+_LEET = str.maketrans("aeios", "43105")
+
+
+def _said(r: random.Random) -> str:
+    """Something that can be pronounced, from consonants and vowels in turn."""
+    return "".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+
+
+def _chosen(r: random.Random) -> str:
+    """A password as people choose them: words, digits, a sign."""
+    word = lambda: r.choice([r.choice(DICTIONARY), _said(r)])
+    value = r.choice([
+        lambda: word() + _pick(r, string.digits, r.randint(1, 4)) + r.choice(["", "!", "#", "$", "@"]), lambda: (word() + r.choice(string.digits)) * 2, lambda: "".join(word() for _ in range(r.randint(2, 4))),
+        lambda: word().translate(_LEET).capitalize() + word().capitalize() + r.choice(["", "!", "99"]), lambda: r.choice("-_.").join(word() for _ in range(4)), lambda: word().capitalize() + r.choice("!@#") + _pick(r, string.digits, 4)])()
+    return value if len(value) >= 8 else value + _pick(r, string.digits + string.ascii_lowercase, 9 - len(value))
+
+
+def _secret_elsewhere(r: random.Random) -> tuple[str, str, str]:
+    """Chosen passwords, passwords in addresses, tokens of letters: (what stands before, the secret, what stands behind)"""
+    kind = r.randrange(4)
+    if kind < 2:
+        quote = r.choice(['"', '"', "'"])
+        return r.choice(["", '"', "export ", "--"]) + r.choice(_PASSWORD_NAMES) + r.choice([" = ", "=", ": ", ":", " => "]) + quote, _chosen(r), ""
+    if kind == 2:
+        value = r.choice([_chosen(r), _pick(r, _ALNUM, r.randint(10, 24))])
+        return f"{r.choice(['postgres', 'mysql', 'https', 'amqp', 'redis', 'mongodb+srv', 'ftp'])}://{r.choice(_USERS)}:", value, f"@{_said(r)}.example.net{r.choice(['', ':5432', '/db', ':27017/app'])}"
+    return r.choice(["Authorization: Bearer ", "bearer ", "-H 'Authorization: Basic ", "Authorization: token "]), _pick(r, string.ascii_letters, r.randint(20, 48)), r.choice(["", "", "'", '"'])
+
+
+def _harmless_elsewhere(r: random.Random) -> tuple[str, str, str]:
+    """The same places with something else in them."""
+    kind = r.randrange(5)
+    name = r.choice([*_PASSWORD_NAMES, "token", "api_key", "API_KEY", "auth"])
+    if kind == 0:
+        about = [r.choice(STAND_INS[:12]), *(r.choice(DICTIONARY) for _ in range(r.randint(1, 3))), r.choice(["password", "here", "key", "token", "it"])]
+        return name + r.choice([" = ", ": ", "="]) + r.choice(['"', "'"]), r.choice([" ", "-", "_"]).join(about), ""
+    if kind == 1:
+        of = r.choice(["os.environ[", "process.env.", "${", "{{ ", "getenv(", "$(", "config.", "settings.", "vault:", "<", "%("]) + r.choice(["DB_", "APP_", "", "user_"]) + name
+        return name + r.choice([" = ", ": ", "="]) + r.choice(["", "", '"']), of + r.choice(["]", "}", ")", " }}", ">", ""]), ""
+    if kind == 2:
+        return name + r.choice([": ", " = "]) + r.choice(['"', "'"]), " ".join(r.choice(DICTIONARY) for _ in range(r.randint(3, 9))), ""
+    if kind == 3:
+        return r.choice(["password: ", "token: ", "secret: ", "the key: ", "Passwort: ", "auth: "]), r.choice(["required", "optional", "mandatory", "disabled", "encrypted", "expired in", "see below", _said(r) + _said(r), r.choice(DICTIONARY) + "ation"]).ljust(8, "s"), ""
+    return r.choice(["postgres://", "https://"]) + r.choice(["user", "username", "admin"]) + ":", r.choice(["password", "${PASSWORD}", "<password>", "xxxxxxxx", "********", "{{db_password}}", "your_password", "$DB_PASSWORD"]), f"@{_said(r)}.example.net/db"
+
+
 def _secret(r: random.Random) -> tuple[str, str]:
     """(what stands before, the secret)"""
     name = r.choice(["token", "secret", "api_key", "apikey", "API_KEY", "access_token", "auth_token", "client_secret", "SECRET_KEY", "password", "passwd", "db_password", "private_key", "aws_secret_access_key", "key", "AuthToken", "bearer"])
@@ -96,10 +147,13 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     out = []
     for i in range(n):
         label = i % 2
-        before, value = _secret(r) if label else _harmless(r)
+        if r.random() < 0.3:
+            before, value, behind = _secret_elsewhere(r) if label else _harmless_elsewhere(r)
+        else:
+            before, value, behind = *(_secret(r) if label else _harmless(r)), ""
         opener = before[-1:] if before[-1:] in "\"'" else ""
         text = _prose(r, r.randint(0, 8)) + r.choice([" ", "\n", " "]) + before
         start = len(text)
-        text += value + opener + r.choice(["", " ", "\n", "### ", "$$$ ", ", "]) + _prose(r, r.randint(0, 6))
+        text += value + opener + behind + r.choice(["", " ", "\n", "### ", "$$$ ", ", "]) + _prose(r, r.randint(0, 6))
         out.append((text, start, start + len(value), label))
     return out

@@ -1,8 +1,9 @@
 """Secret scans: candidate strings in whole texts, judged by a random forest.
 
-A candidate is (a) a run of 16 or more characters of a-z, A-Z, 0-9, + / _ = . - with a digit in it, (b) the
-value of at least 8 characters that is assigned to a name with a credential word, or (c) a private key
-block, with or without header lines. None has an upper limit of length. Features are the candidate's
+A candidate is (a) a run of 16 or more characters of a-z, A-Z, 0-9, + / _ . - with a digit in it and the = signs
+after it, (b) the value of at least 8 characters that is assigned to a name with a credential word, (c) a private key
+block, with or without header lines, (d) the password in an address, or (e) 16 or more such characters, digits or
+not, after the name of an authorisation scheme. None has an upper limit of length. Features are the candidate's
 length, its character transitions and entropy, how much of it dictionary words cover, whether it lies in
 a path or address, and the words beside it. The forest is trained on labelled findings and drops the
 false ones: digests, identifiers, placeholders, paths, long words.
@@ -25,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.common import fresh, texts
-from weftlink.llm.secret_findings import CREDENTIAL_WORDS, DICTIONARY, HARMLESS_WORDS, generated_findings
+from weftlink.llm.secret_findings import CREDENTIAL_WORDS, DICTIONARY, HARMLESS_WORDS, STAND_INS, generated_findings
 from weftlink.llm.trees import Binned, Tree
 
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}+")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{16,}+={0,2}")
+_ADDRESS = re.compile(r"://[^\s/:@\"'<>]*+:([^\s/@\"']{6,}+)@")
+_SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)[ \t]{1,3}(?=([A-Za-z0-9+/_.~\-]{16,}+={0,2}))")
 _ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(CREDENTIAL_WORDS)})[\w.\-]{{0,20}}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}(?:[\"']([^\"'\n]{{8,}}+)[\"']|([^\s\"',;<>]{{8,}}+))")
 _MARK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
 #: What stands between the marks: header lines, if any, then base64; line breaks may be escaped.
@@ -38,7 +41,8 @@ _NEAR = re.compile(r"[a-z]+")
 _PREFIXES = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|SG\.|npm_|pypi-)")
 _WORDS = sorted(DICTIONARY, key=len, reverse=True)
 _DICTIONARY = re.compile("|".join(_WORDS))
-_CREDENTIALS, _HARMLESS = frozenset(CREDENTIAL_WORDS), frozenset(HARMLESS_WORDS)
+_CREDENTIALS, _HARMLESS = tuple(CREDENTIAL_WORDS), frozenset(HARMLESS_WORDS)
+_PASSWORDS = ("password", "passwd", "pwd", "passphrase", "secret")
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,9 @@ def all_candidates(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "run") for m in _RUN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(m.lastindex), m.end(m.lastindex), "assigned") for m in _ASSIGNED.finditer(text)]
+    if "://" in text:
+        found += [(*m.span(1), "address") for m in _ADDRESS.finditer(text)]
+    found += [(*m.span(1), "scheme") for m in _SCHEME.finditer(text)]
     if "-----BEGIN" in text:
         found += [(s, e, "block") for s, e in _blocks(text)]
     found.sort(key=lambda x: (x[0], -x[1], x[2]))
@@ -134,7 +141,7 @@ def features(text: str, start: int, end: int, context: int) -> list[float]:
     head = before.rstrip()
     words = _NEAR.findall(before.lower())[-6:]
     beside = {*words, *_NEAR.findall(after.lower())[:3]}
-    named = next((i for i, w in enumerate(reversed(words)) if w in _CREDENTIALS), 9)
+    named = next((i for i, w in enumerate(reversed(words)) if w.endswith(_CREDENTIALS)), 9)
     space = max(before.rfind(" "), before.rfind("\n"), before.rfind('"'))
     joined = before[space + 1:] + value
     return [
@@ -146,6 +153,7 @@ def features(text: str, start: int, end: int, context: int) -> list[float]:
         value.count("/") + value.count("\\"), float("://" in joined or joined.startswith(("/", "./", "www."))), float(bool(re.search(r"\.[a-z]{2,4}$", low))),
         float(bool(_UUID.fullmatch(value))), float(bool(_PREFIXES.match(value))), float("PRIVATE KEY" in value),
         float(named), float(len(beside & _HARMLESS)), float(head.endswith(("=", ":", '="', "='", ':"', ": \"", "= \"", "= '", "=>"))), float(before.endswith(('"', "'", "`"))),
+        float(bool(words) and words[-1].endswith(_PASSWORDS)), value.count(" ") / n, sum(w in low for w in STAND_INS), float(value[:1] in "$<{%*"), float(after.startswith("@")),
     ]
 
 
