@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from weftlink.llm import pivot_search
+from weftlink.llm import embedding_dedup, pivot_search
 from weftlink.llm.components import connected_components
 from weftlink.llm.embedding_dedup import VectorDedupParams, dedup_vectors
 from weftlink.llm.pivot_search import SearchParams, quantised, top_k
@@ -92,3 +92,15 @@ def test_top_k_of_every_length_and_of_large_components(spark):
         near = sorted((-sum(a * b for a, b in zip(v[i], v[j])), j) for j in v if j != i and len(v[j]) == len(v[i]))[:5]
         want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)] if i % 2 == 0 else []
     assert got == sorted(want) and q.where("id = 1002").head().vec[0] == 256e18
+
+
+@pytest.mark.parametrize("most", [0, 100])
+@pytest.mark.parametrize("of", ["float", "double"])
+def test_one_vector_for_each_id(spark, monkeypatch, most, of):
+    monkeypatch.setattr(embedding_dedup, "REPEATED", most)
+    rows = [(1, [2.0, 1.0]), (1, [1.0, 5.0]), (2, None), (2, [3.0]), (3, None), (None, [1.0]), (4, [0.5]), (4, [0.5])]
+    out = embedding_dedup.one_per_id(spark.createDataFrame(rows, f"i long, v array<{of}>"), "i", "v")
+    assert out.dtypes == [("id", "bigint"), ("vec", f"array<{of}>")]
+    assert sorted((r.id, r.vec) for r in out.collect()) == [(1, [1.0, 5.0]), (2, [3.0]), (3, None), (4, [0.5])]
+    once = embedding_dedup.one_per_id(spark.createDataFrame([(1, [1]), (2, None)], "i long, v array<int>"), "i", "v")
+    assert sorted((r.id, r.vec) for r in once.collect()) == [(1, [1.0]), (2, None)]

@@ -1,6 +1,7 @@
 """Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosines, connected components.
 
-1. Equal vectors become one representative with a count, so groups of copies cost nothing below.
+1. Equal vectors become one representative with a count, so groups of copies cost nothing below. This is the only
+   shuffle of all vectors; ids that repeat are found by ids alone.
 2. A vector's sketch is the signs of its dot products with random hyperplanes. Each table's bucket is a few bits of
    it. Bits and tables follow from the number of vectors and the recall wanted at the threshold.
 3. Only ids and sketches are dealt to the buckets. A bucket of any size is cut into blocks of ``block`` rows and
@@ -27,10 +28,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from weftlink.llm.common import join_hot, staged
 from weftlink.llm.components import connected_components
 
+#: Ids that are broadcast at most.
+REPEATED = 100_000
+
 
 @dataclass(frozen=True)
 class VectorDedupParams:
@@ -64,8 +69,23 @@ def finite(vec: Column) -> Column:
 
 
 def one_per_id(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id IS NOT NULL")
-    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    """(id, vec), each id once: of rows that repeat an id the smallest vector. Components are float where they were, else double.
+
+    Only ids are shuffled to find those that repeat. Up to ``REPEATED`` of them are broadcast, so that all other vectors
+    stay where they are; beyond that vectors are shuffled by id.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL")
+    if not isinstance(rows.schema["vec"].dataType.elementType, FloatType):
+        rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
+    repeated = staged(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return rows
+    folded = lambda x: x.groupBy("id").agg(F.min("vec").alias("vec"))
+    if n > REPEATED:
+        return folded(rows)
+    few = F.broadcast(repeated)
+    return rows.join(few, "id", "left_anti").unionByName(folded(rows.join(few, "id", "left_semi")))
 
 
 def _hasher(bits: int, tables: int, n_signs: int, seed: int):
@@ -169,12 +189,13 @@ def dedup_vectors(vectors: DataFrame, params: VectorDedupParams = VectorDedupPar
     rows = staged(one_per_id(vectors, id_col, vec_col), "vectors")
     usable = finite(F.col("vec")) & F.exists("vec", lambda x: x != 0)
     good = rows.where(usable)
-    reps = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))
-    reps = staged(reps, "representatives")
-    n, n_good = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("mult"), F.lit(0))).head()
+    n = good.count()
     bits, tables = p.shape(n)
     n_signs = 8 * math.ceil(max(p.sketch, tables * bits) / 8)
-    coded = staged(reps.mapInPandas(_hasher(bits, tables, n_signs, p.seed), "vec array<double>, rep long, mult long, sketch binary, codes array<long>"), "sketches")
+    reps = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))
+    of = reps.schema["vec"].dataType.simpleString()
+    coded = staged(reps.mapInPandas(_hasher(bits, tables, n_signs, p.seed), f"vec {of}, rep long, mult long, sketch binary, codes array<long>"), "sketches")
+    reps = coded.select("vec", "rep", "mult")
     buckets = coded.select(F.size("vec").alias("dim"), "rep", "sketch", F.posexplode("codes").alias("t", "code"))
     key = ["t", "code", "dim"]
     shared = buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
@@ -189,6 +210,6 @@ def dedup_vectors(vectors: DataFrame, params: VectorDedupParams = VectorDedupPar
     nodes = reps.join(n_links, "rep", "left").join(comps, "rep", "left").select(
         "rep", "vec", "mult", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     alone = nodes.where("mult = 1").select(F.col("rep").alias("vec_id"), "n_links", "component_id")
-    copies = join_hot(good, nodes.where("mult > 1"), ["vec"], n_good, "mult").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    copies = join_hot(good, nodes.where("mult > 1"), ["vec"], n, "mult").select(F.col("id").alias("vec_id"), "n_links", "component_id")
     rest = rows.where(~usable).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return alone.unionByName(copies).unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

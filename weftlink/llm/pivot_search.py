@@ -52,7 +52,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
     rows = one_per_id(vectors, id_col, vec_col).where(finite(F.col("vec")))
     # Spark's floor gives a long; from 2^52 on every double is whole already
     whole = lambda x: F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
-    return rows.select("id", F.transform("vec", lambda x: whole(x * F.lit(scale))).alias("vec"))
+    return rows.select("id", F.transform("vec", lambda x: whole(x.cast("double") * F.lit(scale))).alias("vec"))
 
 
 @dataclass(frozen=True)
