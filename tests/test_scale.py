@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.test_operators import records
+from weftlink.functions import normalize as N
 from weftlink.operators import blocking
+from weftlink.operators.blocking import BlockingParams
 
 
 def plan(df):
@@ -23,3 +27,29 @@ def test_hashed_ngrams_moves_no_ngrams(spark):
     twice = df.where("entity_id LIKE '%7'")
     whole = {(x.entity_id, x.place): x.value for x in blocking.hashed_ngrams(df.union(twice)).collect()}
     assert {(x.entity_id, x.place): round(x.value, 9) for x in got.collect()} == {k: round(v, 9) for k, v in whole.items()}
+
+
+def test_blocks_count_rows_that_repeat_an_id(spark):
+    df = some_records(spark)
+    df = df.union(df.where("entity_id LIKE '%1'"))
+    a, t = df.where("entity_id LIKE 'S1-%'"), df.where("entity_id NOT LIKE 'S1-%'")
+    for kw in ({"pool": 4}, {"pool": 100}, {"pool": 3, "max_df": 9}):
+        rows = lambda dense: {tuple(x) for x in blocking.overlap_topk(a, t, BlockingParams(dense=dense, **kw)).select("s1_id", "t_id", "overlap", "rank").collect()}
+        assert rows(0) == rows(1 << 40) != set()
+
+
+def test_joined_rows_are_counted_where_they_arise(spark):
+    df = some_records(spark)
+    a, t = df.where("entity_id LIKE 'S1-%'"), df.where("entity_id NOT LIKE 'S1-%'")
+    p = BlockingParams()
+    assert {c: x.rows for c, x in blocking.shared_tokens(a, t, p).items()} == {
+        c: blocking.overlap_join(a.where(F.col("country") == c), t.where(F.col("country") == c), p).agg(F.sum("overlap")).head()[0] for c in ("US", "FR")}
+    assert "FlatMapCoGroupsInPandas" in plan(blocking.overlap_topk(a, t, p))
+
+
+def test_addresses_of_words_and_blanks_only(spark):
+    r = random.Random(2)
+    some = [" ".join(r.choice(["st", "rd", "nr", "st", "12", "rue", "été", "stone", "Dr"]) + r.choice(["", " ", ",", "-"]) for _ in range(r.randint(0, 9))) for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in [*some, "st", " st st  rd ", ""]], "a string")
+    rows = df.select(N.normalize_address("a").alias("x"), N.normalize_address(F.concat("a", F.lit(" !"))).alias("y")).collect()
+    assert all(x.y == f"{x.x} !".strip() for x in rows) and {"street", "street street road", ""} <= {x.x for x in rows}
