@@ -53,3 +53,15 @@ def test_addresses_of_words_and_blanks_only(spark):
     df = spark.createDataFrame([(x,) for x in [*some, "st", " st st  rd ", ""]], "a string")
     rows = df.select(N.normalize_address("a").alias("x"), N.normalize_address(F.concat("a", F.lit(" !"))).alias("y")).collect()
     assert all(x.y == f"{x.x} !".strip() for x in rows) and {"street", "street street road", ""} <= {x.x for x in rows}
+
+
+def test_addresses_join_pairs_that_pass_the_guard(spark):
+    df = some_records(spark)
+    df = df.union(df.where("entity_id LIKE '%1'")).union(df.where("entity_id LIKE '%2'").withColumn("address", F.concat("address", F.lit(" 7"))))
+    a, t = df.where("entity_id LIKE 'S1-%'"), df.where("entity_id NOT LIKE 'S1-%'")
+    p = BlockingParams()
+    pool = blocking.candidate_pool(a, t, p)
+    want = blocking.postal_guard(blocking.with_records(pool, a, t), p)
+    got = blocking.guarded(pool, a, t, p)
+    rows = lambda x: sorted(map(repr, x.select(*sorted(want.columns)).collect()))
+    assert rows(got) == rows(want) != [] and set(got.columns) == set(want.columns)
