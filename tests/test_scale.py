@@ -1,5 +1,6 @@
 """Queries on tables that their first forms were too slow or too large for."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -65,3 +66,48 @@ def test_addresses_join_pairs_that_pass_the_guard(spark):
     got = blocking.guarded(pool, a, t, p)
     rows = lambda x: sorted(map(repr, x.select(*sorted(want.columns)).collect()))
     assert rows(got) == rows(want) != [] and set(got.columns) == set(want.columns)
+
+
+def test_counted_ngrams_equal_windows_of_words():
+    r = random.Random(4)
+    for _ in range(40):
+        whole = "".join(r.choice("ab c\té\x1c 𝄞") for _ in range(r.randint(0, 60)))
+        for least, most in ((3, 5), (2, 3), (5, 6)):
+            want = {}
+            for w in blocking.WORDS.findall(whole):
+                w = f" {w} "
+                for g in [w] if len(w) < least else [w[i:i + n] for n in range(least, most + 1) for i in range(len(w) - n + 1)]:
+                    want[g] = want.get(g, 0) + 1
+            ids, n = blocking.gram_counts(whole, least, most)
+            assert sorted(n.tolist()) == sorted(want.values()) and len(set(ids.tolist())) == len(ids)
+
+
+def test_cosine_blocks_travel_as_texts_and_put_repeated_ids_together(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "_PART", (5, 1 << 20))
+    monkeypatch.setattr(blocking, "_OTHER", (4, 1 << 20))
+    df = some_records(spark, 90)
+    df = df.union(df.where("entity_id LIKE '%1'").withColumn("address", F.lit("other words")))  # ids again, with other texts
+    df = df.union(df.where("entity_id LIKE '%3'").selectExpr("concat(substr(entity_id, 1, 3), '9', substr(entity_id, 4)) AS entity_id", "country", "name", "address"))  # texts again
+    whole = {}
+    for x in df.where("country IS NOT NULL").collect():
+        whole.setdefault((x.entity_id, x.country), []).append(f"{x.name} {x.address}")
+    for by_source, k in ((True, 3), (False, 4)):
+        got = blocking.cosine_topk(blocking.tfidf_vectors(df, 3, 5, 3), df.where("entity_id NOT LIKE 'S1-%'"), k, 0.1, by_source, block=17)
+        assert "texts#" in plan(got) and "weights" not in plan(got)
+        tf = {e: blocking.gram_counts(" ".join(x), 3, 5) for e, x in whole.items()}
+        df_, n = {}, {}
+        for (_, c), (ids, _n) in tf.items():
+            n[c] = n.get(c, 0) + 1
+            for i in ids.tolist():
+                df_[c, i] = df_.get((c, i), 0) + 1
+        vec = {e: {i: (1 + math.log(m)) * (math.log((1 + n[e[1]]) / (1 + df_[e[1], i])) + 1) for i, m in zip(ids.tolist(), ms.tolist()) if df_[e[1], i] >= 3} for e, (ids, ms) in tf.items()}
+        size = {e: math.sqrt(sum(w * w for w in v.values())) for e, v in vec.items()}
+        want = set()
+        for a in [e for e in vec if e[0].startswith("S1-")]:
+            found = {}
+            for b in [e for e in vec if e[1] == a[1] and not e[0].startswith("S1-")]:
+                sim = round(sum(w * vec[b].get(i, 0.0) for i, w in vec[a].items()) / (size[a] * size[b]), 9) if size[a] and size[b] else 0.0
+                if sim >= 0.1:
+                    found.setdefault(b[0][:3] if by_source else "", []).append((-sim, b[0]))
+            want |= {(a[0], t, i + 1) for x in found.values() for i, (_, t) in enumerate(sorted(x)[:k])}
+        assert {(x.s1_id, x.t_id, x["rank"]) for x in got.collect()} == want != set()
