@@ -5,9 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.test_functions import slow_lcs
 from tests.test_operators import records
 from weftlink.functions import normalize as N
-from weftlink.operators import blocking
+from weftlink.functions import similarity
+from weftlink.operators import blocking, features
 from weftlink.operators.blocking import BlockingParams
 
 
@@ -111,3 +113,25 @@ def test_cosine_blocks_travel_as_texts_and_put_repeated_ids_together(spark, monk
                     found.setdefault(b[0][:3] if by_source else "", []).append((-sim, b[0]))
             want |= {(a[0], t, i + 1) for x in found.values() for i, (_, t) in enumerate(sorted(x)[:k])}
         assert {(x.s1_id, x.t_id, x["rank"]) for x in got.collect()} == want != set()
+
+
+def test_long_subsequences_take_a_step_for_each_character_of_the_shorter(monkeypatch):
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("abc é𝄞") for _ in range(n))
+    long = some(900)
+    pairs = [(some(r.randint(65, 200)), r.choice([long, some(r.randint(65, 400))])) for _ in range(40)]
+    made = []
+    places = similarity.Places
+    monkeypatch.setattr(similarity, "Places", lambda text: made.append(text) or places(text))
+    assert similarity.lcs_lengths(*zip(*pairs)).tolist() == [slow_lcs(*p) for p in pairs]
+    assert made.count(long) == 1 and all(len(x) >= 65 for x in made)  # places of a longer side are made once
+
+
+def test_features_send_names_and_addresses_only(spark):
+    df = some_records(spark)
+    a, t = df.where("entity_id LIKE 'S1-%'"), df.where("entity_id NOT LIKE 'S1-%'")
+    rows = features.pair_features(blocking.overlap_join(a, t, BlockingParams()).select("s1_id", "t_id"), a, t)
+    sent = [x for x in plan(rows).split("\n") if "REPARTITION_BY_NUM" in x]
+    assert len(sent) == 2
+    before = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1:]
+    assert len(before) == 2 and not any("addr_sorted" in x.split("Join")[0].split("\n", 1)[1] for x in before)
