@@ -9,7 +9,7 @@ from tests.test_functions import slow_lcs
 from tests.test_operators import records
 from weftlink.functions import normalize as N
 from weftlink.functions import similarity
-from weftlink.operators import blocking, features
+from weftlink.operators import assignment, blocking, features
 from weftlink.operators.blocking import BlockingParams
 
 
@@ -135,3 +135,70 @@ def test_features_send_names_and_addresses_only(spark):
     assert len(sent) == 2
     before = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1:]
     assert len(before) == 2 and not any("addr_sorted" in x.split("Join")[0].split("\n", 1)[1] for x in before)
+
+
+def plain_token_sets(x, y):
+    x, y = set(x.split()), set(y.split())
+    both, left, right = (" ".join(sorted(z)) for z in (x & y, x - y, y - x))
+    if not x or not y:
+        return 0.0
+    if both and (not left or not right):
+        return 100.0
+    ratio = lambda s, t: 200.0 * slow_lcs(s, t) / (len(s) + len(t))
+    whole = [f"{both} {z}".strip() for z in (left, right)]
+    return max([ratio(*whole), *([ratio(both, w) for w in whole] if both else [])])
+
+
+def test_token_sets_skip_subsequences_that_decide_nothing(monkeypatch):
+    r = random.Random(8)
+    some = lambda k: " ".join(r.choice(["acme", "steel", "works", "blue", "ocean", "12", "café", "x", "𝄞"]) + r.choice("ab ") for _ in range(k))
+    pairs = [(some(r.choice([0, 1, 3, 9])), some(r.choice([0, 2, 12, 40]))) for _ in range(300)]
+    monkeypatch.setattr(similarity, "_SETS", 200)
+    asked = []
+    lengths = similarity.lcs_lengths
+    monkeypatch.setattr(similarity, "lcs_lengths", lambda a, b: asked.extend(zip(a, b)) or lengths(a, b))
+    assert similarity.token_sets(*zip(*pairs)) == [plain_token_sets(*p) for p in pairs]
+    asked.clear()
+    short, long = "alpha beta gamma rest", "alpha beta gamma " + " ".join(f"word{i}" for i in range(60))
+    assert similarity.token_sets([short], [long]) == [plain_token_sets(short, long)] and not asked
+
+
+def test_blocks_give_ranked_rows_without_a_window(spark):
+    df = some_records(spark)
+    a, t = df.where("entity_id LIKE 'S1-%'"), df.where("entity_id NOT LIKE 'S1-%'")
+    p = BlockingParams(pool=4)
+    assert "Window" not in plan(blocking.overlap_topk(a, t, p)) and "counts" in plan(blocking.overlap_topk(a, t, p))
+    a = a.union(a.where("country = 'US'").withColumn("country", F.lit("FR")))  # ids in two countries are ranked over both
+    rows = lambda dense: {tuple(x) for x in blocking.overlap_topk(a, t, BlockingParams(dense=dense, pool=4)).select("s1_id", "t_id", "overlap", "rank").collect()}
+    assert rows(0) == rows(1 << 40) != set()
+
+
+def test_several_blocks_of_targets(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "_MOST", 8)
+    df = some_records(spark, 90)
+    a, t = df.where("entity_id LIKE 'S1-%'"), df.where("entity_id NOT LIKE 'S1-%'")
+    for pool in (3, 100):
+        rows = lambda dense: {tuple(x) for x in blocking.overlap_topk(a, t, BlockingParams(dense=dense, pool=pool)).select("s1_id", "t_id", "overlap", "rank").collect()}
+        assert rows(0) == rows(1 << 40) != set()
+
+
+def test_addresses_end_with_scoring(spark):
+    name = lambda i: ["blue ocean", "blueocean", "acme", "acme steel"][i % 4]
+    where = lambda i: ["1 road road 11111", "2 road 22222 some other", "", "  "][i // 4 % 4]
+    a = records(spark, [(f"S1-{i}", "US", name(i), where(i)) for i in range(16)])
+    t = records(spark, [(f"S{2 + i % 2}-{i}", "US", name(i // 2), where(i // 2)) for i in range(90)])
+    p = BlockingParams(per_source=2)
+    got = blocking.candidate_pairs(a, t, p)
+    assert not {"a_addr", "b_addr"} & set(got.columns) and {"a_placed", "b_placed"} <= set(got.columns)
+    sorted_ = [x for x in plan(got).split("\n") if "Exchange hashpartitioning(s1_id" in x and "source" in x]
+    assert sorted_ and "_addr" not in plan(got).split("Window")[1]
+    pool = blocking.scoring_pool(a, t, p)
+    want = blocking.top_candidates(blocking.dual_channel(blocking.guarded(pool, a, t, p), p), p)
+    columns = ["s1_id", "t_id", "rank", "score", "addr_score", "name_set"]
+    assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect()) != []
+    assert blocking.guarded(pool, a, t, p, scoring=True, best=True).count() < blocking.guarded(pool, a, t, p).count()
+    light = blocking.candidate_pairs(a, t, p, all_sets=False)
+    assert sorted(light.select(*columns[:4]).collect()) == sorted(want.select(*columns[:4]).collect())
+    assert light.where("addr_set IS NULL").count() == light.where("a_squash <> '' AND a_squash = b_squash AND a_placed AND b_placed").count() > 0
+    judged = lambda df: {(x.s1_id, x.t_id, x.combined, x["rank"]) for x in assignment.exclusive(assignment.decide(df.withColumn("p", F.col("score") / 100), 0.8)).collect()}
+    assert judged(got) == judged(want) != set()

@@ -60,20 +60,20 @@ class View:
 
     def scored(self) -> DataFrame:
         pool = blocking.candidate_pool(self.s1, self.t, self.params)
-        return blocking.dual_channel(blocking.guarded(pool, self.s1, self.t, self.params), self.params)
+        return blocking.dual_channel(blocking.guarded(pool, self.s1, self.t, self.params, scoring=True), self.params)
 
-    def candidates(self) -> DataFrame:
-        return blocking.candidate_pairs(self.s1, self.t, self.params)
+    def candidates(self, all_sets: bool = False) -> DataFrame:
+        return blocking.candidate_pairs(self.s1, self.t, self.params, all_sets)
 
-    def judged(self) -> DataFrame:
+    def judged(self, all_sets: bool = False) -> DataFrame:
         """Candidates with a probability: the fixed score, from 0 to 1."""
-        return self.candidates().withColumn("p", F.round(F.col("score") / 100.0, 6))
+        return self.candidates(all_sets).withColumn("p", F.round(F.col("score") / 100.0, 6))
 
-    def matches(self) -> DataFrame:
-        return assignment.decide(self.judged(), THRESHOLD)
+    def matches(self, all_sets: bool = False) -> DataFrame:
+        return assignment.decide(self.judged(all_sets), THRESHOLD)
 
     def exclusive(self) -> DataFrame:
-        return assignment.exclusive(self.matches())
+        return assignment.exclusive(self.matches(all_sets=True))
 
     def final(self) -> DataFrame:
         return self.exclusive().where("rank = 1")
